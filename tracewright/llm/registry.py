@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, packing, simhash
 
-QUERIES = {f.__name__: f for f in (simhash.op4_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (
+    decontaminate.op3_benchmark_decontamination,
+    simhash.op4_simhash_near_dedup,
+    packing.op9_packing,
+)}
 ORACLES: dict[str, str] = {}
