@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import take_batches
+from .shared import received, ship, take_batches
 
 WINDOW, SHARD_BYTES, SAMPLE, BLOCK_WORDS = 10, 8 << 20, 8, 1 << 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -256,7 +256,7 @@ def _pass(shared, n_before: int):
     """A pass over the texts; the last three columns are what earlier passes found, if there were any."""
 
     def run(batches):
-        phrases = shared.value if shared else None
+        phrases = received(shared) if shared else None
         for batch in take_batches(batches, SHARD_BYTES, "_text"):
             texts = batch.column("_text")
             found = scan_shard(texts, phrases) if phrases else [(len(words(t)), [], []) for t in texts.to_pylist()]
@@ -279,7 +279,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     schema = base + ", _n long, _spans array<struct<first: long, last: long, start: long, end: long>>, _items array<string>"
     passes = 0
     for phrases in _blocks(benchmark, window, block_words):
-        now, passes = now.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(phrases), passes), schema), passes + 1
+        now, passes = now.mapInArrow(_pass(ship(docs.sparkSession, phrases), passes), schema), passes + 1
     return now if passes else now.mapInArrow(_pass(None, 0), schema)
 
 

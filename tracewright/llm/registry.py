@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash
+from . import decontaminate, language, packing, quality, simhash
 
 QUERIES = {f.__name__: f for f in (
     decontaminate.op3_benchmark_decontamination,
     simhash.op4_simhash_near_dedup,
+    quality.op5_quality_classifier,
     packing.op9_packing,
+    language.op10_language_id,
 )}
 ORACLES: dict[str, str] = {}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def ship(spark: SparkSession, thing) -> Broadcast:
+    """Broadcast an object of this package, by value; received() gives it back.
+
+    For what has a bounded size only.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def received(shared: Broadcast):
+    """What ship() was given."""
+    return pickle.loads(shared.value)
+
+
 def doc_key(text: Column) -> Column:
     """With doc_id, this tells rows apart; rows that agree in both count as one document."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
