@@ -1,0 +1,63 @@
+import hashlib
+import random
+import re
+
+from tracewright.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, regex in BASE.items():
+        for m in re.finditer(regex, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+TEXTS = [
+    None, "", "a@b.c_x@d.e a@b. .@a.b-c.d x@y", "🙂 é a.b+c@d-e.fg.hi, 漢@a.b", "1234.5.6.7 255.255.0.01 1.2.3 1.2.3.4.5.6.7.8 00255.1.1.1 256.1.1.1",
+    "4111 1111 1111 1111 and 4111-1111-1111-1112, 4111  1111", "5500005555555559 12 4111111111111111", "+1 (743) 555-3824 +12 +1.2.3 + 1 555 call +49 30 1234567 890 12345",
+    "GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765433 DE89370400440532013000.", "ssn 123-45-6789 but 123-45-6789-1", "1" * 40_000, "a." * 20_000 + "@x", "x@y" + ".z" * 20_000, "1-" * 20_000, "+1" + " " * 20_000,
+]
+
+
+def test_base_is_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    made = ["".join(rng.choice(["1", "2", "4111111111111111", ".", "-", " ", "+", "@", "a", "_", "é", "\n", "(", ")", "255"]) for _ in range(rng.randrange(80))) for _ in range(1500)]
+    texts = TEXTS + made
+    spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id long, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    out = pii.op6_pii(spark, str(tmp_path)).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        want = brute(texts[r.doc_id])
+        got = [s for s in r.spans.split(",") if s and s.split(":")[0] in BASE]
+        assert got == want, texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.startswith(k + ":") for s in want) for k in BASE)
+    spans = {r.doc_id: r.spans for r in out}
+    assert "iban:0:27" in spans[8] and "iban:55:77" in spans[8] and spans[8].count("iban") == 2
+    assert spans[9] == "ssn:4:15"
+
+
+def test_scores_and_empty(spark):
+    docs = spark.createDataFrame([(1, "call me: +1 (743) 555-3824"), (2, "+1 (743) 555-3824")], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.text, s.score) for s in r.spans] for r in pii.detect(docs).collect()}
+    assert got == {1: [("phone", "+1 (743) 555-3824", 0.9)], 2: [("phone", "+1 (743) 555-3824", 0.6)]}
+    assert pii.detect(docs.limit(0)).count() == 0

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, quality, simhash
+from . import decontaminate, language, packing, pii, quality, sharding, simhash
 
 QUERIES = {f.__name__: f for f in (
+    sharding.op1_sharding,
     decontaminate.op3_benchmark_decontamination,
     simhash.op4_simhash_near_dedup,
     quality.op5_quality_classifier,
+    pii.op6_pii,
     packing.op9_packing,
     language.op10_language_id,
 )}
