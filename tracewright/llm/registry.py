@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, pii, quality, sharding, simhash
+from . import decontaminate, language, lines, packing, pii, quality, sharding, simhash
 
 QUERIES = {f.__name__: f for f in (
     sharding.op1_sharding,
+    lines.op2_line_dedup,
     decontaminate.op3_benchmark_decontamination,
     simhash.op4_simhash_near_dedup,
     quality.op5_quality_classifier,
@@ -13,4 +14,4 @@ QUERIES = {f.__name__: f for f in (
     packing.op9_packing,
     language.op10_language_id,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL}
