@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lines, packing, pii, quality, sharding, simhash, vectors
+from . import decontaminate, language, lines, packing, passages, pii, quality, sharding, simhash, vectors
 
 QUERIES = {f.__name__: f for f in (
     sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {f.__name__: f for f in (
     simhash.op4_simhash_near_dedup,
     quality.op5_quality_classifier,
     pii.op6_pii,
+    passages.op7_substring_dedup,
     vectors.op8_embedding_near_dedup,
     packing.op9_packing,
     language.op10_language_id,

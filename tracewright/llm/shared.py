@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import pickle
 import uuid
@@ -168,3 +169,9 @@ def take_batches(batches, most_bytes: int = 4 << 20, column: str = "text"):
             stop = min(batch.num_rows, max(start + 1, stop))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not when its heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
