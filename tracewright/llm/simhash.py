@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, save, take_batches
+from .shared import components, doc_key, save, take_batches
 
 WORDS, SEED, MOST_BITS = 4, 42, 4
 #: (first bit, bits, radius) of the segments.
@@ -71,12 +71,12 @@ def fingerprint(text: str | bytes | None, words: int = WORDS) -> int:
 def _fingerprints(batches):
     for batch in take_batches(batches):
         made = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column("text").cast(pa.binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(made.view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp: the fingerprint as a signed long) for every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, th: the text's hash, fp: the fingerprint as a signed long) for every row."""
+    return docs.select(F.col("doc_id").cast("long"), doc_key(F.col("text")).alias("th"), "text").mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def _masks(first: int, bits: int) -> list[int]:
@@ -129,15 +129,16 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text).
+    """(doc_id, th, fp, root, component_id) for every row of docs (doc_id, text).
 
-    component_id is the least doc_id that links reach, its own included.
+    root is the least fingerprint that links reach, and component_id the least doc_id,
+    its own included.
     """
     prints = save(fingerprints(docs), "simhash")
     lows = save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     roots = components(links(lows.select("fp"), crowd)).withColumnRenamed("node", "fp")
     classed = save(lows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
-    named = classed.join(classed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
+    named = classed.join(classed.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
 
