@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import detection, enrichment, templates
+
+QUERIES = {**enrichment.QUERIES, **detection.QUERIES, **templates.QUERIES}
+ORACLES = {**enrichment.ORACLES, **detection.ORACLES, **templates.ORACLES}

@@ -1,0 +1,23 @@
+"""Tables between steps, in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet under spark.checkpoint.dir and read it back, so nothing before it runs again.
+
+    Where that setting is absent, a local session uses /tmp/checkpoints and a cluster its
+    warehouse.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        local = spark.sparkContext.master.startswith("local")
+        folder = "file:///tmp/checkpoints" if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
