@@ -1,0 +1 @@
+"""Logs as streams: stateless enrichment and templates whose state lasts across batches."""
