@@ -22,8 +22,8 @@ def running_sum(df: DataFrame, value: Column, order: list[Column], out: str, ran
     """
     first = order[0].cast("double")
     keyed = df.withColumn("_at", first)
-    bounds = keyed.approxQuantile("_at", [k / ranges for k in range(1, ranges)], 0.002)
-    bounds = sorted(set(bounds))
+    wanted = [k / ranges for k in range(1, ranges)]
+    bounds = sorted(set(keyed.approxQuantile("_at", wanted, 0.002))) if wanted else []
     if len(bounds) < 2:
         return keyed.drop("_at").withColumn(out, F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     cut = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("_at"))), F.lit(0))
