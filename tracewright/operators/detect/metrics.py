@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..windows import running_sum
+from ...plans.scratch import save
+from ..windows import running_sums
 
 
 def confusion_matrix(df: DataFrame, label: str = "anomaly", predicted: str = "pred_ano") -> DataFrame:
@@ -30,7 +31,7 @@ def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
     y = F.col(label).cast("boolean")
     counts = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     down = [-F.col("score")]
-    return running_sum(running_sum(counts, F.col("pos"), down, "tp"), F.col("neg"), down, "fp")
+    return running_sums(save(counts, "scores"), {"tp": F.col("pos"), "fp": F.col("neg")}, down)
 
 
 def auc_roc(df: DataFrame, label: str = "anomaly", score: str = "score") -> DataFrame:

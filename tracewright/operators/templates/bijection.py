@@ -74,7 +74,7 @@ def _join_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def _leaves(df: DataFrame, column: str, tokens: Column, ct: float, lower_bound: float, fst: float, pst: float) -> DataFrame:
     """(text, first, template, size, key2, key3, outlier) of every distinct message."""
-    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n")).withColumn("tokens", tokens)
+    texts = save(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n")), "texts").withColumn("tokens", tokens)
     parts = save(step3(step2(step1(texts)), ct, lower_bound), "iplom")
     path = ["size", "key2", "key3"]
     words = parts.select(*path, F.posexplode("tokens").alias("pos", "word"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...model import ROW
+from ...plans.scratch import save
 
 WILD, LEAST_EVENTS = "<*>", 2
 
@@ -28,7 +29,7 @@ def blank_split(message: Column) -> Column:
 
 def parse_ael(df: DataFrame, column: str = "e_message_normalized", least_events: int = LEAST_EVENTS) -> DataFrame:
     """df with e_event_ael_id and e_template_ael; null messages have neither."""
-    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"))
+    texts = save(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first")), "texts")
     tokens = texts.withColumn("tokens", blank_split(F.col("text")))
     binned = tokens.withColumns({"size": F.size("tokens"), "params": F.size(F.filter("tokens", lambda t: t == WILD))})
     head = binned.groupBy("size", "params").agg(F.count("*").alias("events"), F.min_by("tokens", "first").alias("head"), F.min_by("text", "first").alias("head_text"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...model import ROW
+from ...plans.scratch import save
 from .bins import WILD, blank_split
 
 
@@ -39,7 +40,7 @@ def parse_tip(df: DataFrame, column: str = "e_message_normalized", threshold: fl
 
     Ids are numbered by first row; a null message, or one without words, has e_null.
     """
-    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n"))
+    texts = save(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n")), "texts")
     words = texts.select("text", "n", F.explode(F.array_distinct(F.filter(blank_split(F.col("text")), lambda t: ~t.rlike("[0-9]")))).alias("word"))
     often = words.groupBy("word").agg(F.sum("n").alias("often"))
     a, b = words.select("text", "n", F.col("word").alias("a")), words.select("text", F.col("word").alias("b"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...model import ROW
+from ...plans.scratch import save
 from .bins import WILD
 
 LEAST_WORDS, DIGITS = 2, 0.3
@@ -21,7 +22,7 @@ LEAST_WORDS, DIGITS = 2, 0.3
 def parse_brain(df: DataFrame, column: str = "e_message_normalized", threshold: int = LEAST_WORDS) -> DataFrame:
     """df with e_event_brain_id and e_template_brain; ids by the first row of each template."""
     spaced = F.regexp_replace(F.regexp_replace("text", ",", ", "), " +", " ")
-    texts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n"))
+    texts = save(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n")), "texts")
     split = texts.withColumn("tokens", F.split(spaced, " "))
     words = split.select("text", "first", "n", F.size("tokens").alias("size"), F.posexplode("tokens").alias("pos", "word"))
     often = words.groupBy("pos", "word").agg(F.sum("n").alias("often"))

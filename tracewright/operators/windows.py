@@ -15,24 +15,31 @@ from ..model import MESSAGE, ROW, TIME, micros
 RANGES = 64
 
 
-def running_sum(df: DataFrame, value: Column, order: list[Column], out: str, ranges: int = RANGES) -> DataFrame:
-    """df with the sum of value up to each row; order[0] must cast to double and cut the rows well.
+def running_sums(df: DataFrame, values: dict[str, Column], order: list[Column], ranges: int = RANGES) -> DataFrame:
+    """df with the sum of each value up to each row; order[0] must cast to double and cut the rows well.
 
-    Null orders come first. Rows that agree in order[0] stay in one range.
+    Null orders come first. Rows that agree in order[0] stay in one range. df is read three
+    times, so give a saved table if it is costly.
     """
-    first = order[0].cast("double")
-    keyed = df.withColumn("_at", first)
+    keyed = df.withColumn("_at", order[0].cast("double"))
     wanted = [k / ranges for k in range(1, ranges)]
     bounds = sorted(set(keyed.approxQuantile("_at", wanted, 0.002))) if wanted else []
+    upto = lambda w: w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if len(bounds) < 2:
-        return keyed.drop("_at").withColumn(out, F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+        return keyed.drop("_at").withColumns({k: F.sum(v).over(upto(Window)) for k, v in values.items()})
     cut = F.coalesce(F.size(F.filter(F.lit(bounds), lambda b: b < F.col("_at"))), F.lit(0))
-    keyed = keyed.withColumns({"_range": cut, "_value": value}).drop("_at")
+    keyed = keyed.withColumns({"_range": cut} | {f"_value_{k}": v for k, v in values.items()}).drop("_at")
+    totals = keyed.groupBy("_range").agg(*(F.sum(f"_value_{k}").alias(f"_total_{k}") for k in values))  # RANGES rows at most
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = keyed.groupBy("_range").agg(F.sum("_value").alias("_total"))  # RANGES rows at most
-    shift = totals.select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
-    inside = F.sum("_value").over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return keyed.withColumn("_inside", inside).join(F.broadcast(shift), "_range").withColumn(out, F.col("_shift") + F.col("_inside")).drop("_range", "_value", "_inside", "_shift")
+    shift = totals.select("_range", *(F.coalesce(F.sum(f"_total_{k}").over(before), F.lit(0)).alias(f"_shift_{k}") for k in values))
+    inside = keyed.withColumns({f"_inside_{k}": F.sum(f"_value_{k}").over(upto(Window.partitionBy("_range"))) for k in values})
+    joined = inside.join(F.broadcast(shift), "_range")
+    return joined.withColumns({k: F.col(f"_shift_{k}") + F.col(f"_inside_{k}") for k in values}).drop("_range", *(f"_{part}_{k}" for k in values for part in ("value", "inside", "shift")))
+
+
+def running_sum(df: DataFrame, value: Column, order: list[Column], out: str, ranges: int = RANGES) -> DataFrame:
+    """One running sum, see running_sums()."""
+    return running_sums(df, {out: value}, order, ranges)
 
 
 def _ordered(direction: int) -> list[Column]:
