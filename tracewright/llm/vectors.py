@@ -86,6 +86,25 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _units(batches):
+    """Vectors at length 1; null if they are null, zero, or not finite."""
+    for batch in batches:
+        column = batch.column("v")
+        sizes = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components as NaN
+        sound = sizes > 0
+        if sound.any():
+            starts = (np.cumsum(sizes) - sizes)[sound]
+            biggest = np.maximum.reduceat(np.abs(x), starts)
+            fine = np.isfinite(biggest) & (biggest > 0)
+            x = x / np.repeat(np.where(fine, biggest, 1), sizes[sound])  # so that squares neither overflow nor vanish
+            x = x / np.repeat(np.where(fine, np.sqrt(np.add.reduceat(x * x, starts)), 1), sizes[sound])
+            sound[sound] = fine
+        kept = x[np.repeat(sound, sizes)]
+        ends = np.append(0, np.cumsum(np.where(sound, sizes, 0))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("cid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(kept), mask=pa.array(~sound))], ["vec_id", "cid", "v"])
+
+
 def _assign(shared, margin: float):
     def run(batches):
         index = received(shared)
@@ -158,12 +177,8 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, margin: float | None =
     spark = rows.sparkSession
     margin = math.sqrt(2 - 2 * cosine) / 4 if margin is None else margin
     v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    biggest = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda x: x / biggest)  # so that squares neither overflow nor vanish
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.when(sound & (biggest > 0), F.transform(scaled, lambda x: x / norm))
-    named = save(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.size("embedding"), v).alias("cid"), unit.alias("v")), "vectors")
+    raw = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.size("embedding"), v).alias("cid"), v.alias("v"))
+    named = save(raw.mapInArrow(_units, "vec_id long, cid long, v array<double>"), "vectors")
     known = named.where("v IS NOT NULL")
     classes = save(known.groupBy("cid").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("low")), "vector-classes")
     parts = []
