@@ -28,14 +28,23 @@ def items_of(df: DataFrame, column: str) -> Column:
     raise ValueError(f"{column} must hold strings or lists of strings")
 
 
+def exploded(df: DataFrame, column: str, *keep) -> DataFrame:
+    """The items of each row, one per row; a row without items stays with a null term.
+
+    The outer form keeps Spark from testing the list in a filter below, which would
+    compute a costly column again.
+    """
+    return df.select(*keep, F.explode_outer(items_of(df, column)).alias("term"))
+
+
 def term_counts(df: DataFrame, column: str, key: str = ROW) -> DataFrame:
     """(key, term, n) of every term of each row; null terms don't count."""
-    return df.select(key, F.explode(items_of(df, column)).alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
+    return exploded(df, column, key).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:
     """(term, n) over all rows."""
-    return df.select(F.explode(items_of(df, column)).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+    return exploded(df, column).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
 
 
 class RarityModel:
@@ -58,10 +67,10 @@ class RarityModel:
 
     def predict(self, df: DataFrame, column: str, key: str = ROW) -> DataFrame:
         """(key, score, pred_ano) for every row of df."""
-        known = term_counts(df, column, key).join(self.rarities, "term")
-        scored = known.groupBy(key).agg((F.sum(F.col("n") * F.col("rarity")) / F.count("*")).alias("score"))
-        out = df.select(key).join(scored, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        return out.withColumn("pred_ano", (F.col("score") > self.threshold).cast("int"))
+        counts = exploded(df, column, key).groupBy(key, "term").agg(F.count("*").alias("n")).join(self.rarities, "term", "left")
+        known = F.count("rarity")
+        mean = F.when(known > 0, F.sum(F.col("n") * F.col("rarity")) / known).otherwise(0.0)
+        return counts.groupBy(key).agg(mean.alias("score")).withColumn("pred_ano", (F.col("score") > self.threshold).cast("int"))
 
 
 class OOV_detector:
@@ -77,11 +86,13 @@ class OOV_detector:
 
     def predict(self, df: DataFrame, column: str, key: str = ROW) -> DataFrame:
         """(key, score, pred_ano) for every row of df."""
-        items = F.size(items_of(df, column)) if self.len_col is None or self.len_col not in df.columns else F.col(self.len_col)
-        known = term_counts(df, column, key).join(self.known, "term").groupBy(key).agg(F.sum("n").alias("known"))
-        out = df.select(key, items.alias("items")).join(known, key, "left")
-        score = (F.coalesce("items", F.lit(0)) - F.coalesce("known", F.lit(0))).cast("long")
-        return out.select(key, score.alias("score")).withColumn("pred_ano", (F.col("score") > self.threshold).cast("int"))
+        # a null item has a place, a row without items has none
+        rows = df.select(key, *([self.len_col] if self.len_col in df.columns else []), F.posexplode_outer(items_of(df, column)).alias("pos", "term"))
+        size = F.max(self.len_col) if self.len_col in df.columns else F.sum("n")
+        counts = rows.groupBy(key, "term").agg(F.count("pos").alias("n"), *([F.max(self.len_col).alias(self.len_col)] if self.len_col in df.columns else []))
+        joined = counts.join(self.known.withColumn("known", F.lit(True)), "term", "left")
+        score = (F.coalesce(size, F.lit(0)) - F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0))).cast("long")
+        return joined.groupBy(key).agg(score.alias("score")).withColumn("pred_ano", (F.col("score") > self.threshold).cast("int"))
 
 
 def tfidf(df: DataFrame, column: str, key: str = ROW) -> DataFrame:
