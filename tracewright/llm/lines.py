@@ -69,6 +69,7 @@ def repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(F.col("text")).alias("th"), "text")
     marks = save(rows.mapInArrow(_windows(run, long), "doc_id long, th long, fp long, key long, first long, last long"), "lines")
     twice = marks.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = save(twice, "line-origins")  # a table of its own, so that Spark can split a key with many places
     later = marks.join(twice, ["fp", "key"]).where(F.struct("doc_id", "th", "first") > F.col("origin"))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
