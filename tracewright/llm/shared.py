@@ -73,11 +73,13 @@ def doc_key(text: Column) -> Column:
 def number_rows(df: DataFrame, by: list[str], order: list[str], out: str) -> DataFrame:
     """Add out: the row's gapless 0-based number within its group of by.
 
-    No group meets in one task: rows are dealt to hashed buckets, numbered there by
+    No group meets in one task: rows are dealt to hashed buckets, as many as there are
+    shuffle partitions and so many that ROWS_PER_BUCKET is their mean, numbered there by
     order, and shifted by the sizes of the buckets before. df is read three times, so
     give a saved table. Rows that agree in all of order may take each other's number.
     """
-    buckets = max(1, math.ceil(df.count() / ROWS_PER_BUCKET))
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(spread, math.ceil(df.count() / ROWS_PER_BUCKET))
     df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     keys = [*by, "_bucket"]
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
