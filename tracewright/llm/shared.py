@@ -139,12 +139,15 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # the minima are tables of their own, so that Spark can split the rows of a hub in the joins
+        least = save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = save(large, "large")
+        low = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("u"), F.col("m").alias("v"))
         after = save(small.union(low.select("a", "m")).distinct(), "edges")
-        drop(now)
+        for done in (now, least, large, low):
+            drop(done)
         now = after
         was, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if was == mark:
