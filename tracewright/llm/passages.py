@@ -231,7 +231,7 @@ def paragraph_classes(rows: DataFrame, units: DataFrame, block: int = BLOCK) ->
     rooted = save(classes.drop("keys").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "paragraph-roots")
     tidy(spark)
     keep = rooted.groupBy("root").agg(F.min("origin").alias("keep"), F.sum("n").alias("total")).where("total > 1").drop("total")
-    return rooted.join(keep, "root").select("pid", "keep")
+    return save(rooted.join(keep, "root").select("pid", "keep"), "paragraph-keep")
 
 
 _GONE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -272,10 +272,11 @@ def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     units = save(rows.mapInArrow(_units, _UNITS), "units")
     lines = units.where("kind = 0").join(paragraph_classes(rows, units, block), "pid").drop("pid", "keys")
     pieces = units.where("kind = 1").drop("keys")
-    twice = pieces.groupBy("pid").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # the aggregates are tables of their own, so that Spark can split a piece with many places in the joins
+    twice = save(pieces.groupBy("pid").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "pieces-twice")
     again = save(pieces.join(twice, "pid"), "pieces")
     tidy(docs.sparkSession)
-    first = again.groupBy("pid").agg(F.min(F.struct("doc_id", "th", "ord")).alias("keep"))
+    first = save(again.groupBy("pid").agg(F.min(F.struct("doc_id", "th", "ord")).alias("keep")), "pieces-first")
     later = lines.unionByName(again.join(first, "pid").drop("pid")).where(~F.struct("doc_id", "th", "ord").eqNullSafe(F.col("keep")))
     unit = F.struct("kind", "ord", "words", "start", "end", F.col("keep.doc_id").alias("keep_doc"))
     gone = later.groupBy("doc_id", "th").agg(F.collect_set(unit).alias("units")).mapInArrow(_merge, "doc_id long, th long, spans array<struct<start: int, end: int>>, keepers array<long>")
