@@ -96,6 +96,7 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     slice_bytes = max(1, total // (shards * SLICES))
     # groups of over slice_bytes: shards * SLICES at most
     large = rows.groupBy(*_POINT).count().select(*_POINT, F.ceil(F.col("count") * F.col("size") / F.lit(slice_bytes)).alias("slices")).where("slices > 1 AND count > 1")
+    large = F.broadcast(large) if shards * SLICES <= 100_000 else large
     cut = rows.join(large, list(_POINT), "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slices")), F.lit(0))).drop("slices")
     cut = save(cut, "cut")
     point = [*_POINT, "slice"]
