@@ -59,3 +59,17 @@ def test_recall(spark):
 
 def test_no_rows(spark):
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+@pytest.mark.parametrize("dims", [2, 4])
+def test_every_link_of_a_hot_group(spark, dims):
+    rng = np.random.default_rng(5)
+    hot = np.zeros((1500, 64))
+    hot[:, 0], hot[:, 1 : 1 + dims] = 1, rng.normal(size=(1500, dims)) * 0.25
+    x = np.concatenate([hot, rng.normal(size=(1500, 64))])
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (y @ y.T >= 0.95).sum(1) - 1
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for block in (500, vectors.BLOCK):
+        got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame, block=block).collect()}
+        assert [got[k] for k in range(len(x))] == want.tolist()

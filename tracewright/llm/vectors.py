@@ -5,15 +5,16 @@ gives the centres of the coarse lists (about the square root of the number of cl
 LISTS at most) and the codebooks of the residuals' subspaces; every class is indexed:
 in the list of its nearest centre, as the codes of its residual, with the length of what
 the codes leave out. A class also looks into each list whose border lies within MARGIN
-of it. A link is at most R long; at MARGIN = R / 2 no link could be missed, as the border
-crosses it and one end lies within R / 2; R / 4 finds all but those nearly at right
-angles to a border (tests measure the recall). In a list, table lookups give the distance
-of each vector to each coded one; if that, less what the code leaves out, is within R,
-the exact cosine decides.
-
-Lists of over BLOCK rows are cut into blocks that are compared two by two, so no list has
-to fit a task. A block returns, for each vector, how many it links to, and a spanning
-forest of its links; pairs never become rows. Vectors that are null, zero, or hold null,
+= R / 2 of it: a link is at most R long and crosses the border of its ends' lists, so the
+end nearer to that border lies within R / 2. That end alone asks, so no link is counted
+twice or missed. In a list, table lookups give the distance of each vector to each coded
+one; if that, less what the code leaves out, is within R, the exact cosine decides.
+
+Lists near each other form groups of about BLOCK members, and a class is sent once to each
+group it looks into. A group's members, and its visitors, are cut into blocks that are
+compared two by two, so no list or group has to fit a task. A block returns, for each
+vector, how many it links to, and a spanning forest of its links; pairs never become rows.
+Vectors that are null, zero, or hold null,
 NaN or infinite components link with nothing and are components of their own; vectors of
 different dimensions never link. Repeated rows count as vectors each. An empty table
 gives an empty result; further columns are ignored.
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .shared import components, received, save, ship
 
-COSINE, SAMPLE, LISTS, BLOCK, PARTS, CODES = 0.95, 16_384, 4096, 2048, 8, 256
+COSINE, SAMPLE, LISTS, BLOCK, PARTS, CODES = 0.95, 16_384, 4096, 8192, 8, 256
 R = math.sqrt(2 - 2 * COSINE)
-MARGIN = R / 4
+MARGIN = R / 2
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -52,12 +53,30 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
     return centres
 
 
+def grouped(centres: np.ndarray, weight: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each centre: halves of like weight along the widest direction, over and over."""
+    out, todo = np.zeros(len(centres), np.int32), [(np.arange(len(centres)), groups, 0)]
+    while todo:
+        own, count, first = todo.pop()
+        out[own] = first
+        if count < 2 or len(own) < 2:
+            continue
+        apart = centres[own] - centres[own].mean(0)
+        own = own[np.argsort(apart @ np.linalg.eigh(apart.T @ apart)[1][:, -1], kind="stable")]
+        sums = np.cumsum(weight[own] + 1e-9)
+        cut = min(max(1, int(np.searchsorted(sums, sums[-1] * (count // 2) / count))), len(own) - 1)
+        todo += [(own[:cut], count // 2, first), (own[cut:], count - count // 2, first + count // 2)]
+    return out
+
+
 class Index:
-    """Coarse centres and the codebooks of the residuals' parts."""
+    """Coarse centres, their groups and the codebooks of the residuals' parts."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
+    def __init__(self, sample: np.ndarray, lists: int, groups: int = 1):
         self.centres = k_means(sample, lists)
-        residual = sample - self.centres[_nearest(sample, self.centres)]
+        home = _nearest(sample, self.centres)
+        self.group = grouped(self.centres, np.bincount(home, minlength=len(self.centres)), groups)
+        residual = sample - self.centres[home]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [k_means(residual[:, p], CODES) for p in self.parts]
 
@@ -67,18 +86,14 @@ class Index:
         left = np.sqrt(sum(((residual[:, p] - book[codes[:, k]]) ** 2).sum(1) for k, (p, book) in enumerate(zip(self.parts, self.books, strict=True))))
         return codes.astype(np.uint8), left
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The home list of each row and the other lists whose border is within margin."""
+    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """The home list of each row, and for each row and list whether it's home or its border is within margin."""
         c = self.centres
-        score = x @ c.T - (c**2).sum(1) / 2
+        size = (c**2).sum(1)
+        score = x @ c.T - size / 2
         home = score.argmax(1)
-        gap = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 1e-24)) if len(c) <= 256 else None
-        out = []
-        for k, h in enumerate(home):
-            width = gap[h] if gap is not None else np.sqrt(np.maximum(((c - c[h]) ** 2).sum(1), 1e-24))
-            near = np.flatnonzero(score[k, h] - score[k] <= margin * width)
-            out.append(near[near != h])
-        return home, out
+        gap = np.sqrt(np.maximum(size[home][:, None] + size - 2 * (c[home] @ c.T), 0))
+        return home, score[np.arange(len(x)), home][:, None] - score <= margin * gap + 1e-7  # rounding must lose none
 
 
 def _matrix(column) -> np.ndarray:
@@ -86,37 +101,51 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _units(batches):
-    """Vectors at length 1; null if they are null, zero, or not finite."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    """The rows of x at length 1, in a way in which squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _sound(batches):
+    """Vectors as they are; null if they are null, zero, or not finite."""
     for batch in batches:
         column = batch.column("v")
         sizes = np.array([len(x) if x.is_valid else 0 for x in column], np.int64)
-        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components as NaN
+        x = column.flatten().to_numpy(zero_copy_only=False)  # null components as NaN
         sound = sizes > 0
         if sound.any():
             starts = (np.cumsum(sizes) - sizes)[sound]
             biggest = np.maximum.reduceat(np.abs(x), starts)
             fine = np.isfinite(biggest) & (biggest > 0)
-            x = x / np.repeat(np.where(fine, biggest, 1), sizes[sound])  # so that squares neither overflow nor vanish
-            x = x / np.repeat(np.where(fine, np.sqrt(np.add.reduceat(x * x, starts)), 1), sizes[sound])
             sound[sound] = fine
         kept = x[np.repeat(sound, sizes)]
         ends = np.append(0, np.cumsum(np.where(sound, sizes, 0))).astype(np.int32)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("cid"), pa.ListArray.from_arrays(pa.array(ends), pa.array(kept), mask=pa.array(~sound))], ["vec_id", "cid", "v"])
 
 
+_LISTED = "home int, own int, visits array<struct<grp: int, lists: array<int>>>, cid long, n long, v "
+
+
 def _assign(shared, margin: float):
+    """A row's home list, that one's group, and the lists it looks into by their group."""
+
     def run(batches):
         index = received(shared)
+        order = np.argsort(index.group, kind="stable")
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                home, probes = index.probes(_matrix(part.column("v")), margin)
-                size = np.array([1 + len(p) for p in probes])
-                rows = np.repeat(np.arange(len(home)), size)
-                lists = np.concatenate([np.append(h, p) for h, p in zip(home, probes, strict=True)])
-                arrays = [pa.array(lists.astype(np.int32)), pa.array(home[rows].astype(np.int32)), pa.array([probes[k].tolist() for k in rows], pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(part.column(c).take(pa.array(rows)) for c in ("cid", "n", "v"))], ["list", "home", "probes", "cid", "n", "v"])
+                home, near = index.probes(_unit(_matrix(part.column("v"))), margin)
+                rows, lists = np.nonzero(near[:, order])
+                lists = order[lists].astype(np.int32)
+                group = index.group[lists]
+                first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])))
+                inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), pa.array(lists))
+                outer = pa.array(np.searchsorted(rows[first], np.arange(len(home) + 1)).astype(np.int32))
+                visits = pa.ListArray.from_arrays(outer, pa.StructArray.from_arrays([pa.array(group[first]), inner], ["grp", "lists"]))
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(index.group[home]), visits, *(part.column(c) for c in ("cid", "n", "v"))], ["home", "own", "visits", "cid", "n", "v"])
 
     return run
 
@@ -129,41 +158,46 @@ def _compare(shared, cosine: float):
 
     def run(key, table):
         index = received(shared)
-        here, a, b = (k.as_py() for k in key)
-        x, home, cid, n, chunk = _matrix(table.column("v")), *(table.column(c).to_numpy() for c in ("home", "cid", "n", "chunk"))
-        probes = [set(p) for p in table.column("probes").to_pylist()]
-        centre = index.centres[here]
-        member = np.flatnonzero(home == here)
-        codes, left = index.encode(x[member] - centre)
-        first, second, at = [], [], 0
-        for at in range(0, len(x), 256):  # ask: rows of x, answer: members
-            ask = np.arange(at, min(at + 256, len(x)))
-            far = np.zeros((len(ask), len(member)))
-            for k, (p, book) in enumerate(zip(index.parts, index.books, strict=True)):
-                own = x[ask][:, p] - centre[p]
-                far += (((own[:, None] - book[None]) ** 2).sum(2))[:, codes[:, k]]
-            i, j = np.nonzero(np.sqrt(far) - left <= r + 1e-9)
-            i, j = ask[i], member[j]
-            keep = ((home[i] != here) | (i < j)) & ((chunk[i] != chunk[j]) if a != b else True)
-            i, j = i[keep], j[keep]
-            for k in range(0, len(i), 65_536):
-                p, q = i[k : k + 65_536], j[k : k + 65_536]
-                hit = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                first.append(p[hit])
-                second.append(q[hit])
-        i, j = (np.concatenate(s) if s else np.empty(0, np.int64) for s in (first, second))
-        # a visitor's home may also have found the pair: the lesser list counts it
-        both = np.array([home[p] < here and home[p] in probes[q] for p, q in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        i, j = i[~both], j[~both]
-        links = np.zeros(len(x), np.int64)
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
-        root = np.arange(len(x))
-        while len(i) and (root[i] != root[j]).any():
-            low = np.minimum(root[i], root[j])
-            np.minimum.at(root, i, low)
-            np.minimum.at(root, j, low)
-            root = root[root]
+        _, a, b = (k.as_py() for k in key)
+        x = _unit(_matrix(table.column("v")))
+        home, cid, n, chunk, member = (table.column(c).to_numpy() for c in ("home", "cid", "n", "chunk", "member"))
+        looks = table.column("lists").combine_chunks()
+        rows, lists = np.repeat(np.arange(len(x)), looks.value_lengths().to_numpy()), looks.flatten().to_numpy()
+        rows, lists = rows[np.argsort(lists, kind="stable")], np.sort(lists)
+        c, size = index.centres, (index.centres**2).sum(1)
+        links, root = np.zeros(len(x), np.int64), np.arange(len(x))
+        for here in np.unique(home[member]).tolist():
+            asking = rows[np.searchsorted(lists, here) : np.searchsorted(lists, here, "right")]
+            for side, other in {(a, b), (b, a)}:
+                asks, answers = asking[chunk[asking] == side], np.flatnonzero(member & (home == here) & (chunk == other))
+                if not len(asks) or not len(answers):
+                    continue
+                codes, left = index.encode(x[answers] - c[here])
+                for at in range(0, len(asks), 256):
+                    ask = asks[at : at + 256]
+                    far = np.zeros((len(answers), len(ask)))
+                    for k, (p, book) in enumerate(zip(index.parts, index.books, strict=True)):
+                        own = x[ask][:, p] - c[here, p]
+                        far += ((book**2).sum(1)[:, None] - 2 * (book @ own.T) + (own**2).sum(1))[codes[:, k]]
+                    j, i = np.nonzero(far <= (r + 1e-6 + left[:, None]) ** 2)
+                    i, j = ask[i], answers[j]
+                    keep = (home[i] != here) | (i < j)
+                    i, j = i[keep], j[keep]
+                    hit = np.zeros(len(i), bool)
+                    for k in range(0, len(i), 65_536):
+                        p, q = i[k : k + 65_536], j[k : k + 65_536]
+                        low, high = np.minimum(home[p], here), np.maximum(home[p], here)
+                        # of the two ends the nearer to the border asks, by one sum for both
+                        ahead = ((x[p] + x[q]) * (c[low] - c[high])).sum(1) < size[low] - size[high]
+                        hit[k : k + 65_536] = (np.einsum("ij,ij->i", x[p], x[q]) >= cosine) & ((home[p] == here) | (ahead == (home[p] == low)))
+                    i, j = i[hit], j[hit]
+                    np.add.at(links, i, n[j])
+                    np.add.at(links, j, n[i])
+                    while (root[i] != root[j]).any():
+                        one, two = root[i], root[j]
+                        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+                        while (root[root] != root).any():
+                            root = root[root]
         some = np.flatnonzero(links)
         joined = np.flatnonzero(root != np.arange(len(x)))
         u = np.append(cid[some], cid[joined])
@@ -175,24 +209,28 @@ def _compare(shared, cosine: float):
 def near_vectors(rows: DataFrame, cosine: float = COSINE, margin: float | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id) for rows (vec_id, embedding)."""
     spark = rows.sparkSession
-    margin = math.sqrt(2 - 2 * cosine) / 4 if margin is None else margin
+    margin = math.sqrt(2 - 2 * cosine) / 2 if margin is None else margin
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.transform("embedding", lambda x: x.cast("double"))
-    raw = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.size("embedding"), v).alias("cid"), v.alias("v"))
-    named = save(raw.mapInArrow(_units, "vec_id long, cid long, v array<double>"), "vectors")
+    raw = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64(F.size("embedding"), v).alias("cid"), F.col("embedding").cast(kind).alias("v"))
+    named = save(raw.mapInArrow(_sound, f"vec_id long, cid long, v {kind}"), "vectors")
     known = named.where("v IS NOT NULL")
     classes = save(known.groupBy("cid").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("vec_id").alias("low")), "vector-classes")
     parts = []
     for dimension, count in classes.groupBy(F.size("v")).count().collect():
         own = classes.where(F.size("v") == dimension)
-        sample = np.array([r[0] for r in own.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("v").collect()])
-        index = ship(spark, Index(sample, min(LISTS, max(1, math.isqrt(count)))))
-        spread = own.select("cid", "n", "v").mapInArrow(_assign(index, margin), "list int, home int, probes array<int>, cid long, n long, v array<double>")
-        spread = save(spread, "vector-lists")
-        cuts = spread.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("k"))  # a row for each list
-        chunked = spread.join(F.broadcast(cuts), "list").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-        blocks = chunked.select("*", other.alias("other")).withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
-        parts.append(blocks.groupBy("list", "a", "b").applyInArrow(_compare(index, cosine), "u long, v long, links long"))
+        sample = _unit(np.array([r[0] for r in own.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("v").collect()]))
+        rows_of_block = max(1, block * 64 // max(64, dimension))
+        index = ship(spark, Index(sample, min(LISTS, max(1, math.isqrt(count))), -(-count // rows_of_block)))
+        listed = save(own.select("cid", "n", "v").mapInArrow(_assign(index, margin), _LISTED + kind), "vector-lists")
+        spread = listed.select("*", F.explode("visits").alias("visit")).select("home", "cid", "n", "v", "visit.grp", "visit.lists", (F.col("visit.grp") == F.col("own")).alias("member"))
+        blocks = [F.ceil(F.count_if(c) / F.lit(size)).cast("int") for c, size in ((F.col("member"), rows_of_block), (~F.col("member"), 4 * rows_of_block))]
+        cuts = spread.groupBy("grp").agg(blocks[0].alias("km"), blocks[1].alias("kv")).where("km > 0")  # a row for each group
+        chunk = F.when(F.col("member"), F.pmod(F.xxhash64("cid"), "km")).otherwise(F.col("km") + F.pmod(F.xxhash64("cid"), F.greatest("kv", F.lit(1)))).cast("int")
+        chunked = spread.join(F.broadcast(cuts), "grp").withColumn("chunk", chunk)
+        other = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("km") + F.col("kv")).otherwise(F.col("km")) - 1))
+        pairs = chunked.select("*", other.alias("other")).withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")}).drop("other", "km", "kv")
+        parts.append(pairs.groupBy("grp", "a", "b").applyInArrow(_compare(index, cosine), "u long, v long, links long"))
     if not parts:
         return named.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     found = parts[0]
