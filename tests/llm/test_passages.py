@@ -126,3 +126,16 @@ def test_bands_find_what_is_near():
         assert p.near(frozenset(q.shingles(0, 100).tolist()), frozenset(q.shingles(100, 200).tolist()))
     assert found == 60
     assert len({tuple(k) for k in np.array(keys).T.tolist()}) == p.bands()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_passage_without_sentence_marks_inside_other_lines(spark, repeated):
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    docs = []
+    for k in range(20):
+        passage = words(2) * 50 if repeated else words(100)
+        docs += [(2 * k, " ".join(words(90) + passage + words(80))), (2 * k + 1, " ".join(words(70) + passage + words(95)))]
+    found = {r.doc_id: r for r in p.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(found[2 * k + 1].spans and found[2 * k + 1].keepers == [2 * k] for k in range(20))
+    assert repeated or all(not found[2 * k].spans for k in range(20))

@@ -11,9 +11,11 @@ of steps, are a component: its first paragraph (by doc_id, the text's hash and p
 stays, the others go.
 
 So that a passage inside different paragraphs is found too, lines are also cut into pieces
-after every sentence of LEAST_PIECE words or more, hence alike wherever the passage
-stands. Pieces are matched by equality (64-bit hashes). Consecutive pieces that stand
-earlier elsewhere go if they have MIN_WORDS words together.
+after every sentence of LEAST_PIECE words or more, and inside those pieces where the hash
+of the two words at the cut is the least of its neighbourhood (less than LEAST_PIECE words
+off), hence alike wherever the passage stands, with or without sentence marks. Pieces are
+matched by equality (64-bit hashes). Consecutive pieces that stand earlier elsewhere go if
+they have MIN_WORDS words together; a cut piece at either end of a passage stays.
 
 Null and empty texts have no paragraphs. Rows with the same doc_id and text count as one
 document and stay alike. An empty table gives an empty result; further columns are
@@ -75,6 +77,7 @@ class Parsed:
         at, to = self._spans(sentence)
         cut = fresh.copy()
         cut[at[1:][(to - at)[:-1] >= LEAST_PIECE]] = True
+        cut |= self._inner_cuts(*self._spans(cut))
         self.lines, self.pieces = self._spans(fresh), self._spans(cut)
         # sums of the words' hashes by powers: the hash of any run of words
         powers = np.full(n, STEP, np.uint64)
@@ -85,6 +88,27 @@ class Parsed:
         np.cumprod(self.back, out=self.back)
         self.sums = np.append(np.uint64(0), np.cumsum(_mixed(self.hashes) * powers, dtype=np.uint64))
 
+    def _inner_cuts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Words in the runs a to b - 1 at which the hash of two words is least among those less than LEAST_PIECE off."""
+        n, near, most = len(self.hashes), LEAST_PIECE - 1, np.iinfo(np.uint64).max
+        score = np.full(n + 2 * near, most)
+        if n:
+            at, whole = np.arange(n), b - a
+            fit = (at - np.repeat(a, whole) >= LEAST_PIECE) & (np.repeat(b, whole) - at >= LEAST_PIECE)
+            pair = _mixed(_mixed(self.hashes[1:]) + self.hashes[:-1] * np.uint64(STEP))
+            score[near + 1 : near + n] = np.where(fit[1:], pair, most)
+        own = score[near : near + n]
+        out = own < most
+        for d in range(1, near + 1):
+            out &= (own <= score[near - d : near - d + n]) & (own <= score[near + d : near + d + n])
+        tied = np.flatnonzero(out)
+        close = np.append(np.diff(tied) < LEAST_PIECE, False)
+        last = -LEAST_PIECE
+        for at in tied[close | np.append(False, close[:-1])[: len(tied)]].tolist() if len(tied) else []:
+            out[at] = at - last >= LEAST_PIECE  # repeated words: pieces are alike from wherever they're counted
+            last = at if out[at] else last
+        return out
+
     @staticmethod
     def _spans(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(first)
