@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by a join of hashes of windows of lines.
 
 Lines end at "\\n"; blank ones are passed over and stay. Lines are equal if they are after
 white space at their ends is dropped. A run is RUN = 2 or more consecutive lines of a
@@ -6,13 +6,14 @@ document, or a single line of LONG = 8 or more words, that also stands at an ear
 place (by doc_id, the text's hash and line number). Every line of such a later run goes;
 the first place of a run stays whole, unless an earlier one covers it.
 
-Of each RUN consecutive line hashes the least one is the fingerprint, the last of equal
-ones; a long line is a fingerprint too. Since every run holds such a window, two places of
-a run share a fingerprint for sure. From a fingerprint the match is extended both ways
-over each window that chose it: the window's hash is part of the key by which positions
-are joined, with the first position of that key. So each position makes one row and a
-line that stands everywhere makes no pairs; windows that match one after the other add up
-to the longest run. Only fingerprints with two places or more are joined at all.
+Each RUN consecutive lines are a window, and a long line is one by itself. Positions are
+joined by the hash of their whole window with the first position of that hash (fp, the
+least line hash, follows from it and selects nothing). So each position makes one row and
+a line that stands everywhere makes no pairs; windows that match one after the other add
+up to the longest run. Only windows with two places or more are joined at all.
+
+This replaces winnowing: of a run of 2 lines every window has to be a fingerprint, so
+minima would leave none out, and no match needs to be extended.
 
 Null and empty texts stay as they are. Rows with the same doc_id and text count as one
 document and stay alike. A document whose lines all go keeps its row with an empty text.
