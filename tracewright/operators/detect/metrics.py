@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...plans.scratch import save
+from ...scratch import save
 from ..windows import running_sums
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...model import ROW, require
-from ...plans.scratch import save
+from ...scratch import save
 from .bins import WILD, short_id
 
 

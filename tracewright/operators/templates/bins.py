@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...model import ROW
-from ...plans.scratch import save
+from ...scratch import save
 
 WILD, LEAST_EVENTS = "<*>", 2
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...model import ROW
-from ...plans.scratch import save
+from ...scratch import save
 from .bins import WILD, blank_split
 
 
