@@ -139,3 +139,12 @@ def test_passage_without_sentence_marks_inside_other_lines(spark, repeated):
     found = {r.doc_id: r for r in p.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert all(found[2 * k + 1].spans and found[2 * k + 1].keepers == [2 * k] for k in range(20))
     assert repeated or all(not found[2 * k].spans for k in range(20))
+
+
+def test_clashing_names(spark):
+    long = " ".join(f"word{k}" for k in range(40))
+    schema = "doc_id long, _spans string, `a.b` int, text string, _id int, _text string, th int"
+    docs = spark.createDataFrame([(1, "s", 2, long, 3, "t", 4), (2, "s", 2, f"x\n{long}\ny", 3, "t", 4), (2, "s", 5, None, 3, "t", 4)], schema)
+    out = p.remove_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "", r["a.b"]) for r in out.collect()) == [(1, long, 2), (2, "", 5), (2, "x\n\ny", 2)]

@@ -31,8 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import save
 from .decontaminate import word_hashes
-from .shared import Forest, components, doc_key, save, take_batches, tidy
+from .shared import Forest, components, doc_key, mixed, take_batches
 
 MIN_WORDS, SHINGLE, NEAR, ROWS, MISS, LEAST_PIECE, BLOCK = 20, 5, 0.8, 3, 0.001, 5, 256
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
@@ -46,13 +47,6 @@ def bands(near: float = NEAR, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - near**rows))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers whose results look random."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Parsed:
     """The words, lines and pieces of the texts of an Arrow column."""
 
@@ -86,7 +80,7 @@ class Parsed:
         self.back[:1] = 1
         np.cumprod(powers, out=powers)
         np.cumprod(self.back, out=self.back)
-        self.sums = np.append(np.uint64(0), np.cumsum(_mixed(self.hashes) * powers, dtype=np.uint64))
+        self.sums = np.append(np.uint64(0), np.cumsum(mixed(self.hashes) * powers, dtype=np.uint64))
 
     def _inner_cuts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Words in the runs a to b - 1 at which the hash of two words is least among those less than LEAST_PIECE off."""
@@ -95,7 +89,7 @@ class Parsed:
         if n:
             at, whole = np.arange(n), b - a
             fit = (at - np.repeat(a, whole) >= LEAST_PIECE) & (np.repeat(b, whole) - at >= LEAST_PIECE)
-            pair = _mixed(_mixed(self.hashes[1:]) + self.hashes[:-1] * np.uint64(STEP))
+            pair = mixed(mixed(self.hashes[1:]) + self.hashes[:-1] * np.uint64(STEP))
             score[near + 1 : near + n] = np.where(fit[1:], pair, most)
         own = score[near : near + n]
         out = own < most
@@ -116,7 +110,7 @@ class Parsed:
 
     def run_hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The hash of the words a to b - 1 of each run."""
-        return _mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
+        return mixed((self.sums[b] - self.sums[a]) * self.back[a] + (b - a).astype(np.uint64))
 
     def shingles(self, a: int, b: int) -> np.ndarray:
         """The distinct shingles of a run of words, as hashes."""
@@ -143,9 +137,9 @@ class Parsed:
         for k in range(count):
             key = np.full(len(a), k, np.uint64)
             for j in range(ROWS):
-                salt = _mixed(np.array([k * ROWS + j + 1], np.uint64))[0] | np.uint64(1)
-                key = _mixed(key ^ np.minimum.reduceat(base * salt, first)) * np.uint64(STEP)
-            out[:, k] = _mixed(key + np.uint64(k))
+                salt = mixed(np.array([k * ROWS + j + 1], np.uint64))[0] | np.uint64(1)
+                key = mixed(key ^ np.minimum.reduceat(base * salt, first)) * np.uint64(STEP)
+            out[:, k] = mixed(key + np.uint64(k))
         return out
 
 
@@ -235,11 +229,9 @@ def paragraph_classes(rows: DataFrame, units: DataFrame, block: int = BLOCK) ->
     """(pid, keep) of the paragraphs that have others like them; keep: doc_id, th and ord of the first."""
     spark = rows.sparkSession
     classes = save(units.where("kind = 0").groupBy("pid").agg(F.first("keys").alias("keys"), F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "ord")).alias("origin")), "paragraphs")
-    tidy(spark)
     keyed = classes.select("pid", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = save(keyed.join(shared, "key"), "paragraph-keys")
-    tidy(spark)
     sets = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("pid").cast("decimal(38,0)")).alias("mark"))
     once = sets.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
     members = save(members.join(once, "key", "left_semi"), "paragraph-sets")
@@ -247,13 +239,11 @@ def paragraph_classes(rows: DataFrame, units: DataFrame, block: int = BLOCK) ->
     where = where.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "ords")
     texts = rows.join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "ords")
     shingles = save(texts.mapInArrow(_shingles, "pid long, shingles array<long>").dropDuplicates(["pid"]), "shingles")
-    tidy(spark)
     cut = members.withColumn("k", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("k")).cast("int"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("key", "pid", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     blocks = cut.join(shingles, "pid").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "pid")
     roots = components(blocks.mapInArrow(_verify, "u long, v long")).withColumnRenamed("node", "pid")
     rooted = save(classes.drop("keys").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "paragraph-roots")
-    tidy(spark)
     keep = rooted.groupBy("root").agg(F.min("origin").alias("keep"), F.sum("n").alias("total")).where("total > 1").drop("total")
     return save(rooted.join(keep, "root").select("pid", "keep"), "paragraph-keep")
 
@@ -299,7 +289,6 @@ def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # the aggregates are tables of their own, so that Spark can split a piece with many places in the joins
     twice = save(pieces.groupBy("pid").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "pieces-twice")
     again = save(pieces.join(twice, "pid"), "pieces")
-    tidy(docs.sparkSession)
     first = save(again.groupBy("pid").agg(F.min(F.struct("doc_id", "th", "ord")).alias("keep")), "pieces-first")
     later = lines.unionByName(again.join(first, "pid").drop("pid")).where(~F.struct("doc_id", "th", "ord").eqNullSafe(F.col("keep")))
     unit = F.struct("kind", "ord", "words", "start", "end", F.col("keep.doc_id").alias("keep_doc"))
@@ -311,10 +300,12 @@ def repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with those spans cut from text; no row goes."""
-    found = repeats(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).where("size(_spans) > 0").distinct()
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (doc_key(docs["text"]) == found["_th"]), "left")
-    walk = "aggregate(_spans, struct('' AS kept, 0 AS at), (x, s) -> struct(concat(x.kept, substring(text, x.at + 1, s.start - x.at)) AS kept, s.end AS at), x -> concat(x.kept, substring(text, x.at + 1)))"
-    return joined.withColumn("text", F.expr(f"CASE WHEN _spans IS NULL THEN text ELSE {walk} END")).select(*docs.columns)
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_id"), doc_key(F.col("text")).alias("_th"))
+    found = repeats(docs).where("size(spans) > 0").select(F.col("doc_id").alias("_gid"), F.col("th").alias("_gth"), F.col("spans").alias("_spans")).distinct()
+    joined = kept.join(found, F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_th") == F.col("_gth")), "left")
+    walk = "aggregate(_spans, struct('' AS kept, 0 AS at), (x, s) -> struct(concat(x.kept, substring(_text, x.at + 1, s.start - x.at)) AS kept, s.end AS at), x -> concat(x.kept, substring(_text, x.at + 1)))"
+    left = F.expr(f"CASE WHEN _spans IS NULL THEN _text ELSE {walk} END")
+    return joined.select(*((left if c == "text" else F.col(f"_{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

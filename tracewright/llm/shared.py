@@ -1,11 +1,9 @@
-"""What several operators need: shared scratch tables, row numbers, components."""
+"""What several operators need: row numbers, hashes, components, slices of batches."""
 
 from __future__ import annotations
 
-import gc
 import math
 import pickle
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,45 +11,12 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import drop, save
+
 #: Rows that one task numbers at most on average, see number_rows.
 ROWS_PER_BUCKET = 50_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the one that the cluster names in spark.checkpoint.dir. Where that is
-    unset, a local session gets /tmp/checkpoints and a cluster a folder of its
-    warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "file:///tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    That cuts the lineage: after the loss of an executor nothing before it runs
-    again. The table stays until drop() or the end of the folder.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back._scratch = path
-    return back
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the table of a frame that save() returned."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def ship(spark: SparkSession, thing) -> Broadcast:
     """Broadcast an object of this package, by value; received() gives it back.
 
@@ -88,6 +53,13 @@ def number_rows(df: DataFrame, by: list[str], order: list[str], out: str) -> Dat
     return df.withColumn("_inside", inside).join(shift, keys).withColumn(out, (F.col("_shift") + F.col("_inside")).cast("long")).drop("_bucket", "_shift", "_inside")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose results look random."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Forest:
     """Union-find over whatever can be a dict's key; the least member is the root."""
 
@@ -146,8 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = save(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("u"), F.col("m").alias("v"))
         after = save(small.union(low.select("a", "m")).distinct(), "edges")
-        for done in (now, least, large, low):
-            drop(done)
+        drop(now, least, large, low)
         now = after
         was, mark = mark, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if was == mark:
@@ -174,9 +145,3 @@ def take_batches(batches, most_bytes: int = 4 << 20, column: str = "text"):
             stop = min(batch.num_rows, max(start + 1, stop))
             yield batch.slice(start, stop - start)
             start = stop
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when its heap is full."""
-    gc.collect()
-    spark._jvm.System.gc()

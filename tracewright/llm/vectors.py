@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, received, save, ship
+from ..scratch import save
+from .shared import components, received, ship
 
 COSINE, SAMPLE, LISTS, BLOCK, PARTS, CODES = 0.95, 16_384, 4096, 8192, 8, 256
 R = math.sqrt(2 - 2 * COSINE)
