@@ -1,10 +1,11 @@
 import random
 
 import duckdb
+import pytest
 from tracewright.llm import lines
 
 
-def brute(docs):
+def brute(docs, run=2, long=8):
     """{(doc_id, text): text without later runs}; docs in order of (doc_id, text's hash)."""
     seen, out = set(), {}
     for k, text in docs:
@@ -13,7 +14,8 @@ def brute(docs):
             continue
         all_ = text.split("\n")
         solid = [(n, x.strip(" \t\r\x0b\x0c")) for n, x in enumerate(all_) if x.strip(" \t\r\x0b\x0c")]
-        own = [(n, m, (a, b)) for (n, a), (m, b) in zip(solid, solid[1:])] + [(n, n, (a,)) for n, a in solid if len(a.split()) >= 8]
+        own = [(part[0][0], part[-1][0], tuple(x for _, x in part)) for part in (solid[k : k + run] for k in range(len(solid) - run + 1))]
+        own += [(n, n, (a,)) for n, a in solid if len(a.split()) >= long]
         gone = set()
         for n, m, key in sorted(own):
             if key in seen:
@@ -41,10 +43,27 @@ def test_is_brute_force(spark):
     assert sum(r.text != dict(docs)[r.doc_id] for r in got) > 20
 
 
-def test_longer_runs(spark):
-    docs = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, "a\nb\nz"), (4, None)]
-    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run=3).collect()}
-    assert got == {1: "a\nb\nc\nd", 2: "x\ny", 3: "a\nb\nz", 4: None}
+@pytest.mark.parametrize("run", [2, 3, 5])
+def test_runs_of_any_length(spark, run):
+    rng = random.Random(run)
+    stock = ["a", "b", "c d", "e f g"]
+    docs = [(k, "\n".join(rng.choices(stock, k=rng.randrange(14)))) for k in range(80)] + [(90, "\n".join(["a"] * 9)), (91, "x\n" + "\n".join(["a"] * 7))]
+    want = brute(docs, run)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), run=run).collect()}
+    assert got == {k: want[k, t] for k, t in docs}
+    assert any(got[k] != t for k, t in docs)
+
+
+@pytest.mark.parametrize("run", [2, 3, 5])
+def test_selects_minima_only(run):
+    rng = random.Random(run)
+    text = "\n".join(f"line {rng.random()}" for _ in range(3000))
+    found = lines.selected(text, run)
+    assert abs(len(found) / 3000 - 2 / (run + 1)) < 0.04  # the density of winnowing
+    spans = sorted((first, last) for _, own in found for _, first, last in own)
+    assert spans == [(k, k + run - 1) for k in range(3000 - run + 1)]  # each window chose one
+    part = "\n".join(text.split("\n")[1000 : 1000 + run])
+    assert {fp for fp, _ in lines.selected(part, run)} < {fp for fp, _ in found}
 
 
 def test_same_id_other_text(spark):

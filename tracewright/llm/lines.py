@@ -1,4 +1,4 @@
-"""Line dedup by a join of hashes of windows of lines.
+"""Line dedup by winnowing over line hashes.
 
 Lines end at "\\n"; blank ones are passed over and stay. Lines are equal if they are after
 white space at their ends is dropped. A run is RUN = 2 or more consecutive lines of a
@@ -6,14 +6,17 @@ document, or a single line of LONG = 8 or more words, that also stands at an ear
 place (by doc_id, the text's hash and line number). Every line of such a later run goes;
 the first place of a run stays whole, unless an earlier one covers it.
 
-Each RUN consecutive lines are a window, and a long line is one by itself. Positions are
-joined by the hash of their whole window with the first position of that hash (fp, the
-least line hash, follows from it and selects nothing). So each position makes one row and
-a line that stands everywhere makes no pairs; windows that match one after the other add
-up to the longest run. Only windows with two places or more are joined at all.
-
-This replaces winnowing: of a run of 2 lines every window has to be a fingerprint, so
-minima would leave none out, and no match needs to be extended.
+Of each RUN consecutive lines the one of least hash (the last of equal ones) is selected
+as a fingerprint; a long line is one by itself. Only selected lines make rows, so a line
+makes one at most and many make none. Two places where the same RUN lines stand select
+the same line of them: a run of RUN lines or more is sure to share a fingerprint.
+Positions are joined by fingerprint, and those whose fingerprint stands nowhere else are
+done with. A match of the others is extended to both sides, over those neighbours that
+chose the fingerprint: a position carries the hashes of its neighbourhood, as a hash of
+each window of RUN lines that chose it, and matches where such a window has an earlier
+place. Windows that match one after the other add up to the longest run. A fingerprint
+or a window is only ever compared with its first place, so a line that stands everywhere
+makes no pairs.
 
 Null and empty texts stay as they are. Rows with the same doc_id and text count as one
 document and stay alike. A document whose lines all go keeps its row with an empty text.
@@ -28,36 +31,49 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import doc_key, save, take_batches
+from ..scratch import save
+from .shared import doc_key, mixed, take_batches
 
 RUN, LONG = 2, 8
 _ENDS = " \t\r\x0b\x0c"
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
-def windows(text: str | None, run: int = RUN, long: int = LONG) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, key, first line, last line) of each window of run lines and each long line."""
+def selected(text: str | None, run: int = RUN, long: int = LONG) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(fingerprint, [(window's hash, first line, last line)]) of each selected line of a text."""
     if not text:
         return []
     lines = [(k, s) for k, x in enumerate(text.split("\n")) if (s := x.strip(_ENDS))]
-    hashes = [xxhash.xxh64_intdigest(s.encode(errors="surrogatepass")) for _, s in lines]
-    out = []
-    for at in range(len(lines) - run + 1):
-        part = hashes[at : at + run]
-        key = xxhash.xxh64_intdigest(np.array(part, np.uint64).tobytes(), run)
-        out.append((min(part), key, lines[at][0], lines[at + run - 1][0]))
-    for h, (k, s) in zip(hashes, lines, strict=True):
+    hashes = np.array([xxhash.xxh64_intdigest(s.encode(errors="surrogatepass")) for _, s in lines], np.uint64)
+    found: dict[int, list[tuple[int, int, int]]] = {}
+    if len(lines) >= run:
+        near = np.lib.stride_tricks.sliding_window_view(hashes, run)
+        chosen = np.arange(len(near)) + run - 1 - near[:, ::-1].argmin(1)
+        keys = np.full(len(near), run, np.uint64)
+        for k in range(run):
+            keys = mixed(keys + near[:, k]) * _STEP
+        for at, (pick, key) in enumerate(zip(chosen.tolist(), keys.tolist(), strict=True)):
+            found.setdefault(pick, []).append((key, lines[at][0], lines[at + run - 1][0]))
+    for at, (k, s) in enumerate(lines):
         if len(s) >= 2 * long - 1 and len(s.split()) >= long:
-            out.append((h, h, k, k))
-    return out
+            found.setdefault(at, []).append((int(hashes[at]), k, k))
+    return [(int(hashes[at]), own) for at, own in found.items()]
+
+
+_MARKS = "doc_id long, th long, fp long, windows array<struct<key: long, first: long, last: long>>"
 
 
-def _windows(run: int, long: int):
+def _marks(run: int, long: int):
     def each(batches):
         for batch in take_batches(batches):
-            found = [windows(t, run, long) for t in batch.column("text").to_pylist()]
+            found = [selected(t, run, long) for t in batch.column("text").to_pylist()]
             rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            flat = np.array([w for f in found for w in f], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("th").take(rows), *(pa.array(flat[:, k]) for k in range(4))], ["doc_id", "th", "fp", "key", "first", "last"])
+            prints = np.array([fp for f in found for fp, _ in f], np.uint64).view(np.int64)
+            sizes = np.array([len(own) for f in found for _, own in f], np.int64)
+            flat = np.array([w for f in found for _, own in f for w in own], np.uint64).reshape(-1, 3).view(np.int64)
+            inner = pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(3)], ["key", "first", "last"])
+            own = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), inner)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(prints), own], ["doc_id", "th", "fp", "windows"])
 
     return each
 
@@ -68,10 +84,12 @@ def repeated_lines(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFra
     th is the text's hash, see doc_key.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key(F.col("text")).alias("th"), "text")
-    marks = save(rows.mapInArrow(_windows(run, long), "doc_id long, th long, fp long, key long, first long, last long"), "lines")
-    twice = marks.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    twice = save(twice, "line-origins")  # a table of its own, so that Spark can split a key with many places
-    later = marks.join(twice, ["fp", "key"]).where(F.struct("doc_id", "th", "first") > F.col("origin"))
+    marks = save(rows.mapInArrow(_marks(run, long), _MARKS), "lines")
+    # the counts and origins are tables of their own, so that Spark can split a line with many places in the joins
+    shared = save(marks.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"), "line-prints")
+    matched = save(marks.join(shared, "fp").select("doc_id", "th", "fp", F.inline("windows")), "line-matches")
+    origins = save(matched.groupBy("fp", "key").agg(F.min(F.struct("doc_id", "th", "first")).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-origins")
+    later = matched.join(origins, ["fp", "key"]).where(F.struct("doc_id", "th", "first") > F.col("origin"))
     return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
