@@ -33,17 +33,19 @@ _SPACE = np.array([not chr(c).isalpha() for c in range(128)])
 
 def grams(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(feature, count) of a text's n-grams, by feature."""
-    total = np.zeros(buckets, np.int64)
-    for at in range(0, max(1, len(text)), 1 << 20):  # parts of a very long text overlap by two
-        code = np.frombuffer(text[max(0, at - 2) : at + (1 << 20)].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    total, shift = np.zeros(buckets, np.int64), np.uint64(64 - (buckets.bit_length() - 1))
+    text, before = text.lower(), np.empty(0, np.uint64)
+    for at in range(0, len(text), 1 << 20):  # by parts, each with the last two code points kept before it
+        code = np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le", "surrogatepass"), np.uint32)
         space = np.where(code < 128, _SPACE[np.minimum(code, 127)], False)
-        keep = ~(space & np.append(False, space[:-1]))
-        code = np.where(space, 32, code)[keep].astype(np.uint64)
-        shift = np.uint64(64 - (buckets.bit_length() - 1))
+        keep = ~(space & np.append(len(before) > 0 and before[-1] == 32, space[:-1]))
+        code = np.append(before, np.where(space, 32, code)[keep].astype(np.uint64))
         value = np.zeros(len(code), np.uint64)
-        for n in range(3):
+        for n in range(3):  # those that end in this part
             value = value[: len(code) - n] * np.uint64(0x110000) + code[n:] + np.uint64(1)
-            total += np.bincount(((value * np.uint64(_ODD[n])) >> shift).astype(np.int64), minlength=buckets)
+            own = value[max(0, len(before) - n) :]
+            total += np.bincount(((own * np.uint64(_ODD[n])) >> shift).astype(np.int64), minlength=buckets)
+        before = code[-2:]
     found = np.flatnonzero(total)
     return found, total[found]
 
