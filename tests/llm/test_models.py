@@ -1,7 +1,11 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from tracewright.llm import language, quality
 
 STOCK = {"en": "the of and ing tion house water", "de": "der die und schlüssel über straße ich", "fr": "le la être où garçon élève dans"}
@@ -26,12 +30,67 @@ def test_language_on_held_out_rows(spark, tmp_path):
     assert sum(r.held_out for r in out) > 40
 
 
+def naive_grams(text, buckets):
+    """n-grams counted one by one; a run of ASCII characters that are no letters is one space."""
+    plain = re.sub("[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", text.lower())
+    out, shift, wrap = Counter(), 64 - (buckets.bit_length() - 1), (1 << 64) - 1
+    for n in (1, 2, 3):
+        for at in range(len(plain) - n + 1):
+            value = 0
+            for c in plain[at : at + n]:
+                value = (value * 0x110000 + ord(c) + 1) & wrap
+            out[((value * language._ODD[n - 1]) & wrap) >> shift] += 1
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "Ab é1", "  ..  x", "1 2\n\n3", "ÀÉ漢🙂 straße, ñ--o I\u0307"])
+def test_grams_are_counted(text):
+    found, counts = language.grams(text)
+    assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == naive_grams(text, language.BUCKETS)
+
+
 def test_grams_in_parts_are_grams():
-    whole = "Ab é1 " * 50_000
-    a = language.grams(whole)
-    long = language.grams(whole * 8)
-    assert (a[0] == long[0]).all() and abs(int(long[1].sum()) - 8 * int(a[1].sum())) < 40
-    assert [x.tolist() for x in language.grams("")] == [[], []]
+    part = "Ab é1, " + "xyz ñ " * 3
+    text = part * (3 * (1 << 20) // len(part)) + "." * 1_100_000 + "ü" + " " * 1_050_000 + "end"
+    found, counts = language.grams(text)
+    assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == naive_grams(text, language.BUCKETS)
+
+
+def test_weights_are_those_of_the_regularised_leader():
+    rng = random.Random(6)
+    rows = [(rng.randrange(3), np.array(sorted(rng.sample(range(16), 5))), np.array([rng.randrange(1, 4) for _ in range(5)])) for _ in range(60)]
+    model = language.Model(["a", "b", "c"], np.linspace(1, 2, 16))
+    model.fit(rows, rows[:20], 2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= language.L1:
+            return 0.0
+        return -(z[k] - math.copysign(language.L1, z[k])) / ((language.BETA + math.sqrt(n[k])) / language.ALPHA + language.L2)
+
+    for _ in range(2):
+        for y, found, counts in rows:
+            x = [math.log1p(c) * (1 + f / 15) for f, c in zip(found.tolist(), counts.tolist(), strict=True)]
+            x = [v / math.sqrt(sum(u * u for u in x)) for v in x]
+            w = {(f, c): weight((f, c)) for f in found.tolist() for c in range(3)}
+            e = [math.exp(sum(v * w[f, c] for f, v in zip(found.tolist(), x, strict=True))) for c in range(3)]
+            for f, v in zip(found.tolist(), x, strict=True):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    z[f, c] += g - (math.sqrt(n[f, c] + g * g) - math.sqrt(n[f, c])) / language.ALPHA * w[f, c]
+                    n[f, c] += g * g
+    assert np.allclose(model.weights, [[weight((f, c)) for c in range(3)] for f in range(16)], atol=1e-5)
+    loss = lambda t: -sum(math.log(max(language._softmax(model.logits(f, c) / t)[y], 1e-300)) for y, f, c in rows[:20])
+    assert loss(model.temperature) <= min(map(loss, np.geomspace(0.05, 20, 61))) + 1e-9
+
+
+def test_query_without_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert language.op10_language_id(spark, str(tmp_path)).count() == 0
+    assert quality.op5_quality_classifier(spark, str(tmp_path)).count() == 0
+    spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert [r.score for r in quality.op5_quality_classifier(spark, str(tmp_path)).collect()] == [0.5, 0.5]
 
 
 def test_language_without_rows(spark):
@@ -79,3 +138,39 @@ def test_discriminant_is_the_density_ratio():
         logs.append(-0.5 * np.einsum("ij,jk,ik->i", gap, np.linalg.inv(cov), gap) - 0.5 * np.linalg.slogdet(cov)[1])
     assert np.allclose(model.scores(x[1][:5]), 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))))
     assert (quality.Discriminant(np.zeros((2, d + 1, d + 1))).scores(x[0][:2]) == 0.5).all()
+
+
+def naive_statistics(text):
+    """The 17 statistics, from the whole text at once."""
+    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
+    w, c, n = max(len(words), 1), max(len(text), 1), max(len(lines), 1)
+    upper, lower = (len(re.findall(r, text)) for r in ("[A-Z]", "[a-z]"))
+    share = lambda x, of: math.log(x / of + 0.01)
+    odd, beyond = "#$%&*@^~<>{}[]=+_\\/`", [b for b in text.encode(errors="replace") if b >= 192]
+    return [
+        math.log1p(len(words)), math.log1p(sum(map(len, words)) / w), share(upper, max(upper + lower, 1)), share(text.count("!"), w),
+        share(sum(x in odd for x in text), c), share(text.count("|"), w), share(sum(x in "0123456789" for x in text), c),
+        math.log(1 + len(set(words))) - math.log(1 + len(words)), share(sum(a == b for a, b in zip(words, words[1:])), w),
+        share(max(Counter(words).values(), default=0), w), share(len(lines) - len(set(lines)), n), math.log1p(len(words) / n),
+        share(text.count("."), w), share(text.count(","), w), share(len(beyond), c),
+        share(sum(any(x in odd for x in v) for v in words), w), share(sum(not any(x.isalpha() for x in v) for v in words), w),
+    ]
+
+
+def test_statistics_are_counted():
+    rng = random.Random(5)
+    texts = ["", " ", "A", "a b\na b\n\n c | c! #x 12 É.", "漢字 漢字\x1c\x85z"] + ["".join(rng.choice("aB é.,|!#\n 1") for _ in range(rng.randrange(200))) for _ in range(200)]
+    texts.append("one two, three four.\n" * 60_000 + "x" * 1_200_000 + " y" * 900_000)  # beyond one part
+    for text in texts:
+        assert np.allclose(quality.statistics(text), naive_statistics(text)), text[:50]
+    assert np.allclose(quality.statistics(None), naive_statistics(""))
+
+
+def test_sums_of_classes(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(50, len(quality.STATISTICS))), rng.integers(0, 2, 50)
+    measured = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<double>").repartition(3)
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)] + [(3, None), (99, 1)], "doc_id long, label int")
+    one = np.column_stack([np.ones(50), x])
+    want = quality.Discriminant(np.stack([one[y == k].T @ one[y == k] for k in (0, 1)]))
+    assert np.allclose(quality.fit(measured, labels).scores(x), want.scores(x))

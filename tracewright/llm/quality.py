@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import save
 from .language import fold
-from .shared import save, take_batches
+from .shared import take_batches
 
 TO_POOLED, TO_IDENTITY, THRESHOLD = 0.2, 0.02, 0.3
 STATISTICS = (
@@ -37,27 +38,56 @@ for _c in range(256):
     _KIND[_c] = 1 if 65 <= _c <= 90 else 2 if 97 <= _c <= 122 else 3 if 48 <= _c <= 57 else 4 if _c >= 192 else 5 if chr(_c) in "#$%&*@^~<>{}[]=+_\\/`" else 0
 _SYMBOL = re.compile(r"[#$%&*@^~<>{}\[\]=+_\\/`]")
 _LETTER = re.compile(r"[^\W\d_]")
-
-
-def _part(text: str) -> np.ndarray:
-    """What can be added up over the parts of a text."""
-    words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
-    counts = Counter(words)
-    kinds = np.bincount(_KIND[np.frombuffer(text.encode(errors="replace"), np.uint8)], minlength=6)
-    odd = _SYMBOL.search
-    letter = _LETTER.search
-    own = list(counts.items())
-    return np.array([
-        len(words), sum(len(w) * n for w, n in own), kinds[1], kinds[2], text.count("!"), kinds[5], text.count("|"), kinds[3],
-        len(counts), sum(map(str.__eq__, words, words[1:])), max(counts.values(), default=0), len(lines) - len(set(lines)), len(lines),
+_BLANK = re.compile(r"\s")
+#: A text's words are listed by parts of so many characters, which changes no count.
+PART = 1 << 20
+
+
+def _words(text: str):
+    """The words of a text in lists, of about PART characters each."""
+    at = 0
+    while len(text) - at > PART and (cut := _BLANK.search(text, at + PART)):
+        yield text[at : cut.start()].split()
+        at = cut.end()
+    yield text[at:].split()
+
+
+def _lines(text: str):
+    """The lines of a text that aren't blank, one by one."""
+    at = 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        if (line := text[at:end]).strip():
+            yield line
+        at = end + 1
+
+
+def _counts(text: str) -> list[float]:
+    """Counts over a whole text; memory goes with its distinct words and lines."""
+    counts, neighbours, last, kinds = Counter(), 0, None, np.zeros(6, np.int64)
+    for words in _words(text):
+        counts.update(words)
+        if words:
+            neighbours += sum(map(str.__eq__, words, words[1:])) + (words[0] == last)
+            last = words[-1]
+    for at in range(0, len(text), PART):
+        kinds += np.bincount(_KIND[np.frombuffer(text[at : at + PART].encode(errors="replace"), np.uint8)], minlength=6)
+    lines, distinct = 0, set()
+    for line in _lines(text):
+        lines += 1
+        distinct.add(hash(line))
+    odd, letter, own = _SYMBOL.search, _LETTER.search, list(counts.items())
+    return [
+        counts.total(), sum(len(w) * n for w, n in own), kinds[1], kinds[2], text.count("!"), kinds[5], text.count("|"), kinds[3],
+        len(counts), neighbours, max(counts.values(), default=0), lines - len(distinct), lines,
         text.count("."), text.count(","), kinds[4], sum(n for w, n in own if odd(w)), sum(n for w, n in own if not letter(w)), len(text),
-    ], float)
+    ]
 
 
 def statistics(text: str | None) -> np.ndarray:
-    """The transformed statistics of a text; a very long one is counted in parts of 1 Mi characters."""
-    text = text or ""
-    a = sum((_part(text[at : at + (1 << 20)]) for at in range(0, max(1, len(text)), 1 << 20)), np.zeros(19))
+    """The transformed statistics of a whole text."""
+    a = _counts(text or "")
     words, chars, lines = max(a[0], 1), max(a[18], 1), max(a[12], 1)
     share = lambda x, of: np.log(x / of + 0.01)
     return np.array([
