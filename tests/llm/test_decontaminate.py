@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from tracewright.llm import decontaminate as d
@@ -78,3 +79,15 @@ def test_long_text():
     text = "pad " * 700_000 + " ".join(f"W{k}" for k in range(10)) + " end"
     ((n, spans, items),) = d.scan_shard(pa.array([text]), phrases)
     assert n == 700_011 and spans == [[700_000, 700_010, 2_800_000, 2_800_029]] and items == ["7"]
+
+
+def test_item_without_id(spark, tmp_path):
+    items = [(None, "an item that has no id but words that stand in a text here"), (4, "a b c")]
+    docs = [(1, "x " + items[0][1] + " a b c"), (2, "a b"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(map(tuple, d.op3_benchmark_decontamination(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(d.OP3_SQL).fetchall()) and got[0][:4] == (1, 18, 17, 1)

@@ -11,8 +11,9 @@ as 64-bit hashes first, and what an occurrence covers is compared letter by lett
 
 The phrases come to the driver and to the tasks in blocks of at most BLOCK_WORDS words,
 with a pass over the texts for each, so their number is not bounded. The texts are never
-shuffled. Null and empty texts have no words, no hits and stay as they are; an empty
-table gives an empty result; repeated rows are alike.
+shuffled. Null and empty texts have no words, no hits and stay as they are; an item with
+a null id is searched and its words are hits, but it isn't listed. An empty table gives
+an empty result; repeated rows are alike.
 """
 
 from __future__ import annotations
@@ -62,8 +63,8 @@ def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
 class Phrases:
     """A block of test phrases: their words' hashes and numbers, and the items they are from."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
-        self.items = [i for i, _ in items]
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int):
+        self.items: list[str | None] = [i for i, _ in items]
         found: dict[tuple[str, ...], set[int]] = {}
         for k, (_, own) in enumerate(items):
             for at in range(max(1, len(own) - window + 1)):
@@ -221,7 +222,7 @@ def scan_shard(column: pa.Array, phrases: Phrases) -> list[tuple[int, list[list[
     for k, own in items.items():
         chars = np.append(0, np.cumsum(lead[offsets[k] : offsets[k + 1]]))
         spans = [[a - int(begins[k]), b - int(begins[k]), int(chars[starts[a] - offsets[k]]), int(chars[ends[b - 1] - offsets[k]])] for a, b in out[k][1]]
-        out[k] = (out[k][0], spans, sorted({phrases.items[i] for i in own}))
+        out[k] = (out[k][0], spans, sorted({phrases.items[i] for i in own} - {None}))
     return out
 
 
@@ -242,7 +243,7 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int):
     block, size = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         own = words(text)
-        if own and item is not None:
+        if own:
             block.append((item, own))
             size += len(own)
             if size >= block_words:
