@@ -65,3 +65,30 @@ def test_pieces_cover_every_document(spark):
 
 def test_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def naive(counts, most):
+    """How full the packs get if each piece, longest first, goes to the shortest pack with room."""
+    packs = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [k for k, used in enumerate(packs) if used + length <= most]
+            if fits:
+                packs[min(fits, key=lambda k: packs[k])] += length
+            else:
+                packs.append(length)
+    return Counter(packs)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_is_shortest_pack_first(seed):
+    rng = random.Random(seed)
+    most = rng.choice([10, 64, 1024])
+    counts = dict(Counter(min(most, max(1, int(rng.expovariate(3 / most)))) if seed % 2 else rng.randrange(1, most + 1) for _ in range(300)))
+    assert Counter({}) + sum((Counter({sum(p): c}) for p, c in packing.plan(counts, most)), Counter()) == naive(counts, most)
+
+
+def test_one_tokenizer_for_all_texts():
+    files = packing.default_files()
+    tokens = packing.Tokens(*files)
+    assert tokens("a <|endoftext|> b") and packing.Tokens(*files).kept[files[0]] is tokens.kept[files[0]]

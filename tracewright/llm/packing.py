@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import number_rows, save, take_batches
+from ..scratch import save
+from .shared import number_rows, take_batches
 
 #: Entries of a worker's table of words and their ids, about 150 bytes each.
 MOST_WORDS = 400_000
@@ -65,12 +66,14 @@ class Tokens:
             words = _Words()
             words.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
             kept[ranks] = words
-        self.words = kept[ranks]
+        self.words, self.kept = kept[ranks], kept
 
     def special(self, text: str) -> bytes:
-        from tokenizers import Tokenizer
+        if self.vocabulary not in self.kept:
+            from tokenizers import Tokenizer
 
-        return np.array(Tokenizer.from_file(self.vocabulary).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.kept[self.vocabulary] = Tokenizer.from_file(self.vocabulary)
+        return np.array(self.kept[self.vocabulary].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
         if "<|" in text:
