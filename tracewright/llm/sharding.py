@@ -22,7 +22,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop, number_rows, save
+from ..scratch import drop, save
+from .shared import number_rows
 
 SHARDS, SLICES, DIGIT, DIGITS, TIE = 8, 200, 14, 4, 16
 _POINT = ("h", "text_crc32", "size")
@@ -56,7 +57,12 @@ def kd_tree(points: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
             low = DIGIT * (DIGITS - 1 - digit)
             own = now.join(table, "node").withColumn("key", key()).where(F.shiftright("key", low + DIGIT) == F.col("prefix"))
             sums = own.groupBy("node", "goal", F.shiftright("key", low).bitwiseAND((1 << DIGIT) - 1).alias("digit")).agg(F.sum("weight").alias("w"))
-            upto = sums.withColumn("upto", F.sum("w").over(Window.partitionBy("node").orderBy("digit")))  # 2^DIGIT rows a node at most
+            # running sums within ranges of digits, and over the ranges: no task holds a node's digits
+            sums = sums.withColumn("range", F.shiftright("digit", DIGIT // 2))
+            inside = sums.withColumn("inside", F.sum("w").over(Window.partitionBy("node", "range").orderBy("digit")))
+            earlier = Window.partitionBy("node").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+            ranges = sums.groupBy("node", "range").agg(F.sum("w").alias("all")).select("node", "range", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+            upto = inside.join(ranges, ["node", "range"]).withColumn("upto", F.col("before") + F.col("inside"))
             ends = F.max_by(F.struct("digit", "upto", "w"), "digit").alias("last")
             first = F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("digit", "upto", "w"))).alias("first")
             for r in upto.groupBy("node").agg(first, ends).collect():
