@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, doc_key, save, take_batches
+from ..scratch import save
+from .shared import components, doc_key, take_batches
 
 WORDS, SEED, MOST_BITS = 4, 42, 4
 #: (first bit, bits, radius) of the segments.
@@ -142,6 +143,15 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     return prints.join(named, "fp")
 
 
+def dedup_documents(docs: DataFrame) -> DataFrame:
+    """The row of least doc_id, then text hash, of each group of near copies; of repeated rows one."""
+    first = near_duplicates(docs).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("_first"), F.col("f.th").alias("_hash"))
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("_id"), doc_key(F.col("text")).alias("_th"))
+    # one row for each _id and _th, so no group of copies meets in a task
+    one = kept.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_th") == F.col("_hash")), "left_semi").dropDuplicates(["_id", "_th"])
+    return one.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def op4_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with its fingerprint in 16 hexadecimal digits and its component."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
