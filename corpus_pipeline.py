@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import decontaminate, language, lines, packing, simhash
-from tracewright.llm.shared import doc_key, save
+from tracewright.scratch import drop, save, temporary
 
 #: Documents whose language is less likely than this go.
 LEAST_SCORE = 0.5
@@ -36,11 +36,7 @@ def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least doc_id, then text hash, of each group of near copies."""
-    rows = simhash.near_duplicates(docs).groupBy("root", "doc_id", "th").agg(F.count("*").alias("_n"))
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th", "_n")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.th").alias("_th"), "f._n")
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["_id"]) & (doc_key(docs["text"]) == first["_th"]))
-    repeated = kept.where("_n > 1").dropDuplicates(["_id", "_th"])
-    return kept.where("_n = 1").union(repeated).select(*docs.columns)
+    return simhash.dedup_documents(docs)
 
 
 def cut_benchmarks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; what a stage keeps for itself goes when its rows are written."""
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), name.split()[0].lower())
+        before = docs
+        with temporary() as own:
+            docs = save(stage(spark, before, sf_dir), name.split()[0].lower())
+            own.remove(docs)
+        if before is not source:
+            drop(before)
     return docs
