@@ -64,3 +64,17 @@ def test_no_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names(spark, tmp_path):
+    rows, items = made()
+    names = ["_n", "a.b", "_spans", "_text", "_id", "_th", "th", "fp", "root", "f", "_0", "doc id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in names)
+    spark.createDataFrame([(*r, *range(len(names))) for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        assert out.drop("doc_id", "text", "lang", "source", "n_chars").distinct().count() == 1
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
