@@ -95,6 +95,22 @@ def test_devices_and_calls(spark, tmp_path):
     assert loader.df_seq.select("seq_id").distinct().count() == 2
 
 
+def test_events_of_many_files_have_their_own_rows(spark, tmp_path):
+    for k in range(40):
+        write(f"{tmp_path}/adfa/Training_Data_Master/UTD-{k:02}.txt", f"{k} 1 2\n3 4\n")
+        write(f"{tmp_path}/aws/x/f{k:02}.csv", f"a{k},b,c,Clean\n\nd,Worm\nOnly\n")
+    adfa = s.ADFALoader(spark, f"{tmp_path}/adfa")
+    got = rows(adfa.execute(), "row_id", "seq_id", "m_message")
+    assert len({r[0] for r in got}) == len(got) == 200 and got[0][0] >= 0
+    assert [r[1:] for r in got] == [(f"UTD-{k:02}", m) for k in range(40) for m in (str(k), "1", "2", "3", "4")]
+    assert {r.seq_id: r.m_message for r in adfa.df_seq.collect()} == {f"UTD-{k:02}": [str(k), "1", "2", "3", "4"] for k in range(40)}
+    aws = s.AWSCTDLoader(spark, f"{tmp_path}/aws")
+    got = rows(aws.execute(), "row_id", "label", "m_message")
+    assert len({r[0] for r in got}) == len(got) == 200 and got[0][0] >= 0
+    assert [r[1:] for r in got] == [x for k in range(40) for x in (*(("Normal", m) for m in (f"a{k}", "b", "c")), ("Worm", "d"), ("Only", None))]
+    assert sorted((r.label, r.m_message or []) for r in aws.df_seq.collect()) == sorted([("Normal", [f"a{k}", "b", "c"]) for k in range(40)] + [("Worm", ["d"])] * 40 + [("Only", [])] * 40)
+
+
 def test_json_lines(spark, tmp_path):
     write(f"{tmp_path}/g.json", '{"message": "a b", "@timestamp": "2020-01-01T10:00:00Z", "level": 3}\n{"message": "c", "@timestamp": "bad"}\n')
     got = rows(s.GELFLoader(spark, f"{tmp_path}/g.json").execute(), "m_message", "level", "m_timestamp")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...model import ROW
+from ...scratch import save
 from . import metrics
 from .features import Vectorizer, test_train_split
 from .items import OOV_detector, RarityModel
@@ -152,7 +153,8 @@ class AnomalyDetector:
         """predict(), with its measures kept."""
         out = self.predict()
         if self.labelled:
-            measured = metrics.f1_accuracy(out, self.label).crossJoin(metrics.confusion_matrix(out, self.label)).crossJoin(metrics.auc_roc(out, self.label)).first()
+            out = save(out, "predictions")
+            measured = metrics.measures(out, self.label).crossJoin(metrics.auc_roc(out, self.label)).first()
             self.stored.append((run, self.name, self.name in SUPERVISED, self.signature, measured["accuracy"], measured["f1"], measured["auc"], measured["tp"], measured["fp"], measured["fn"], measured["tn"]))
         return out
 

@@ -6,11 +6,12 @@ tokens(); lists are used as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...model import ROW
+from ...scratch import save
 
 
 def tokens(column: Column) -> Column:
@@ -59,7 +60,7 @@ class RarityModel:
         self.rarities = None
 
     def fit(self, df: DataFrame, column: str) -> RarityModel:
-        counts = vocabulary(df, column)
+        counts = save(vocabulary(df, column), "vocabulary")
         share = F.col("n") / F.col("total")
         log = F.ln(share)
         self.rarities = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("term", F.when(share > self.common, 0.0).otherwise(-log * log * log).alias("rarity"))
@@ -97,10 +98,10 @@ class OOV_detector:
 
 def tfidf(df: DataFrame, column: str, key: str = ROW) -> DataFrame:
     """(key, term, weight): counts times ln((1 + rows) / (1 + rows with the term)) + 1, at length 1 per row."""
-    counts = term_counts(df, column, key)
+    counts = save(term_counts(df, column, key), "terms")
     rows = df.agg(F.count("*").alias("rows"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(rows))
     idf = frequency.select("term", (F.ln((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(idf, "term").select(key, "term", (F.col("n") * F.col("idf")).alias("w"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a row's terms
+    return weighted.select(key, "term", (F.col("w") / norm).alias("weight"))

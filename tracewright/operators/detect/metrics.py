@@ -19,11 +19,16 @@ def confusion_matrix(df: DataFrame, label: str = "anomaly", predicted: str = "pr
     return df.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
-def f1_accuracy(df: DataFrame, label: str = "anomaly", predicted: str = "pred_ano") -> DataFrame:
-    """One row: accuracy, precision, recall, f1; a share of nothing is 0."""
+def measures(df: DataFrame, label: str = "anomaly", predicted: str = "pred_ano") -> DataFrame:
+    """One row: tp, fp, fn, tn, accuracy, precision, recall, f1, from one aggregation; a share of nothing is 0."""
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn, tn = map(F.col, ("tp", "fp", "fn", "tn"))
-    return confusion_matrix(df, label, predicted).select(share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    return confusion_matrix(df, label, predicted).select("*", share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"), share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def f1_accuracy(df: DataFrame, label: str = "anomaly", predicted: str = "pred_ano") -> DataFrame:
+    """One row: accuracy, precision, recall, f1."""
+    return measures(df, label, predicted).drop("tp", "fp", "fn", "tn")
 
 
 def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:

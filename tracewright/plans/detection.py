@@ -10,7 +10,8 @@ from ..operators import joins
 from ..operators.detect import metrics
 from ..operators.detect.items import OOV_detector, RarityModel, term_counts, tfidf, vocabulary
 from ..operators.distance import LogDistance
-from ..sources.tables import log_documents, log_events, table
+from ..scratch import save
+from ..sources.tables import labelled, log_documents, log_events, table
 from .enrichment import DOCUMENTS, EVENTS, sql_mask
 
 QUERIES: dict = {}
@@ -37,8 +38,9 @@ scored AS (SELECT e.row_id, e.seq_id, e.anomaly, e.m_timestamp, coalesce(k.score
 
 
 def _bagged(spark, sf):
-    df = log_events(spark, sf)
-    return df.withColumn("e_words", text.words(text.mask(F.col("m_message"))))
+    """Events with their masked words, saved because the masks are costly and models read them twice."""
+    df = log_events(spark, sf).withColumn("e_words", text.words(text.mask(F.col("m_message"))))
+    return save(df.select("row_id", "seq_id", "anomaly", "m_timestamp", "e_words"), "bagged")
 
 
 def _rarity(spark, sf):
@@ -78,7 +80,7 @@ scored AS (SELECT d.row_id, d.anomaly, count(b.term) - count(v.term) AS score FR
 def _oov(spark, sf):
     df = log_documents(spark, sf)
     scored = OOV_detector(threshold=1).fit(df.where("lang = 'en'"), "m_message").predict(df, "m_message")
-    return df.select("row_id", "anomaly").join(scored, "row_id")
+    return labelled(scored, spark, sf)
 
 
 @query(OOV + "SELECT row_id, score, CAST(score > 1 AS INTEGER) AS pred_ano FROM scored")

@@ -10,7 +10,7 @@ from ..operators import windows
 from ..operators.events import EventLogEnhancer
 from ..operators.nextevent import NextEventPredictionNgram
 from ..operators.sequences import SequenceEnhancer
-from ..sources.tables import log_documents, log_events, log_turns, table
+from ..sources.tables import labelled, log_documents, log_events, log_turns, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -97,7 +97,7 @@ def message_lengths(spark, sf):
 
 @query(f"WITH {DOCUMENTS} SELECT 'anomaly' AS \"column\", count(*) FILTER (WHERE anomaly IS NULL) AS nulls, CAST(0 AS BIGINT) AS non_utf8 FROM documents_log HAVING count(*) FILTER (WHERE anomaly IS NULL) > 0")
 def null_audit(spark, sf):
-    return model.audit(log_documents(spark, sf))
+    return model.audit(labelled(log_documents(spark, sf), spark, sf))
 
 
 @query(f"WITH {EVENTS} SELECT regexp_matches(m_message, '^user 1') AS matches, count(*) AS n FROM events_log GROUP BY 1")
@@ -115,7 +115,7 @@ def split_columns(spark, sf):
 
 @query(f"WITH {DOCUMENTS} SELECT row_id, anomaly, NOT anomaly AS normal FROM documents_log")
 def anomaly_inversion(spark, sf):
-    return model.with_anomaly(log_documents(spark, sf)).select("row_id", "anomaly", "normal")
+    return model.with_anomaly(labelled(log_documents(spark, sf).select("row_id"), spark, sf)).select("row_id", "anomaly", "normal")
 
 
 @query()

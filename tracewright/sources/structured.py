@@ -132,14 +132,12 @@ class ADFALoader(BaseLoader):
     attacks, skipped = "Attack_Data_Master", "ADFA-LD+Syscall+List.txt"
 
     def load(self):
-        lines = read_lines(self.spark, self.filename, "*.txt").where(base_name(F.col("file_path")) != self.skipped)
+        calls = F.split(F.regexp_replace("value", "^ +| +$", ""), " ")
+        lines = read_lines(self.spark, self.filename, "*.txt", events=calls).where(base_name(F.col("file_path")) != self.skipped)
         attack = F.regexp_replace(folder_name(F.col("file_path")), "_[^_]*$", "")
         label = F.when(F.contains("file_path", F.lit(f"/{self.attacks}/")), attack).otherwise("Normal")
         seq = F.regexp_replace(base_name(F.col("file_path")), r"\.txt$", "")
-        calls = F.split(F.regexp_replace("value", "^ +| +$", ""), " ")
-        ids = lines.select(ROW, seq.alias(SEQUENCE), label.alias("label"), F.posexplode(calls).alias("pos", MESSAGE))
-        # a line's events follow it in order; a line is shorter than 2^20 calls
-        self.df = ids.withColumn(ROW, F.shiftleft(ROW, 20) + F.col("pos")).drop("pos")
+        self.df = lines.select(ROW, seq.alias(SEQUENCE), label.alias("label"), F.col("event").alias(MESSAGE))
 
     def preprocess(self):
         self.df = self.df.withColumn("normal", F.col("label") == "Normal")
@@ -153,18 +151,22 @@ class AWSCTDLoader(BaseLoader):
     mandatory = (MESSAGE,)
 
     def load(self):
-        lines = read_lines(self.spark, self.filename, "*.csv").where("value <> ''")
-        name = F.concat_ws("/", folder_name(F.col("file_path")), F.regexp_replace(base_name(F.col("file_path")), r"\.csv$", ""), F.col(ROW).cast("string"))
-        self.df_seq = lines.select(ROW, name.alias(SEQUENCE), F.split("value", ",").alias("all"))
+        # an event knows its line by its number in it: the line's own is that of its first event
+        parts = F.split("value", ",")
+        calls = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x, k: F.struct(k.alias("pos"), x.alias("call")))
+        lines = read_lines(self.spark, self.filename, "*.csv", events=calls).where("value <> ''")
+        first = F.col(ROW) - F.coalesce("event.pos", F.lit(0))
+        name = F.concat_ws("/", folder_name(F.col("file_path")), F.regexp_replace(base_name(F.col("file_path")), r"\.csv$", ""), first.cast("string"))
+        last = F.element_at(parts, -1)
+        label = F.when(last == "Clean", "Normal").otherwise(last)
+        self.df = lines.select(ROW, name.alias(SEQUENCE), label.alias("label"), F.col("event.call").alias(MESSAGE), first.alias("_line"))
 
     def preprocess(self):
-        last = F.element_at("all", -1)
-        label = F.when(last == "Clean", "Normal").otherwise(last)
-        calls = F.when(F.size("all") > 1, F.slice("all", F.lit(1), F.size("all") - 1))
-        seq = self.df_seq.select(ROW, SEQUENCE, calls.alias(MESSAGE), label.alias("label")).withColumn("normal", F.col("label") == "Normal")
-        events = seq.select(ROW, SEQUENCE, "label", "normal", F.posexplode_outer(MESSAGE).alias("pos", MESSAGE))
-        self.df = events.withColumn(ROW, F.shiftleft(ROW, 20) + F.coalesce("pos", F.lit(0))).drop("pos")
-        self.df_seq = seq
+        self.df = self.df.withColumn("normal", F.col("label") == "Normal")
+        calls = F.filter(in_row_order(F.col(MESSAGE)), lambda x: x.isNotNull())
+        seq = self.df.groupBy(SEQUENCE, F.col("_line").alias(ROW), "label", "normal").agg(calls.alias(MESSAGE))
+        self.df_seq = seq.select(ROW, SEQUENCE, F.when(F.size(MESSAGE) > 0, F.col(MESSAGE)).alias(MESSAGE), "label", "normal")
+        self.df = self.df.drop("_line")
 
 
 class GELFLoader(BaseLoader):

@@ -18,10 +18,18 @@ def log_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def log_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """documents as multi-line messages; toxic ones are anomalies, unlabelled ones are not known."""
-    d, labels = table(spark, folder, "documents"), table(spark, folder, "labels").select("doc_id", "toxic")
-    joined = d.join(labels, "doc_id", "left")
-    return joined.select(F.col("doc_id").alias("row_id"), F.col("text").alias("m_message"), F.col("source").alias("seq_id"), (F.col("toxic") == 1).alias("anomaly"), "lang")
+    """documents as multi-line messages."""
+    d = table(spark, folder, "documents")
+    return d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("m_message"), F.col("source").alias("seq_id"), "lang")
+
+
+def labelled(log: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of a log of documents with anomaly: toxic ones are, unlabelled ones are not known.
+
+    Drop the text before, so that it isn't shuffled.
+    """
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("row_id"), (F.col("toxic") == 1).alias("anomaly"))
+    return log.join(labels, "row_id", "left")
 
 
 def log_turns(spark: SparkSession, folder: str) -> DataFrame:
