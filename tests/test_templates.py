@@ -57,6 +57,34 @@ def test_online_parsers_are_sequential(spark, log):
             assert got == {k: machines[key][0].template(c) for k, (key, c) in want.items()}
 
 
+def test_spell_index_loses_no_template(spark):
+    """Against a search through every template, with words that repeat and a literal star."""
+
+    class Plain(Spell):
+        def _candidates(self, words, least):
+            return range(len(self.found))
+
+    rng = random.Random(4)
+    one, other = Spell(), Plain()
+    for _ in range(600):
+        words = [rng.choice(["a", "b", "c", "d", "*", "", "e1", "e2"]) for _ in range(rng.randrange(1, 9))]
+        assert one.add(words) == other.add(words)
+    assert one.found == other.found
+
+
+def test_remembered_lines_change_nothing(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(["<*>", "x", "y", "7", "z"]) for _ in range(3))) for k in range(400)]
+    got = {r.row_id: r.e_event_drain_id for r in t.parse_drain(spark.createDataFrame(rows, "row_id long, e_message_normalized string")).collect()}
+    machines, first, want = {}, {}, {}
+    for k, text in rows:
+        tokens = text.split()
+        key = "<*>" if any(c.isdigit() for c in tokens[0]) else tokens[0]
+        at = (key, machines.setdefault(key, Drain()).add(tokens))
+        want[k] = f"e{first.setdefault(at, len(first) + 1)}"
+    assert got == want
+
+
 def test_drain_numbers_and_templates(spark):
     df = spark.createDataFrame([(5, "get x now"), (1, "get y now"), (3, "put"), (7, "get z now")], "row_id long, e_message_normalized string")
     rows = {r.row_id: (r.e_event_drain_id, r.e_event_drain_template) for r in t.parse_drain(df, templates=True).collect()}

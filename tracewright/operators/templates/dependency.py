@@ -9,30 +9,37 @@ are one event. Words with digits take no part.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...model import ROW
 from ...scratch import save
+from ..windows import numbered
 from .bins import WILD, blank_split
 
 
 def _components(batches):
-    """(text, key words) from a message's words, their occurrences and its edges."""
+    """(first, key words) from a message's words, their occurrences and its edges."""
     for batch in batches:
         keys = []
         for words, edges in zip(batch.column("words").to_pylist(), batch.column("edges").to_pylist(), strict=True):
             often = {w["word"]: w["n"] for w in words}
-            group = {w: w for w in often}
+            up = {w: w for w in often}
+
+            def top(w, up=up):
+                while up[w] != w:
+                    up[w] = up[up[w]]
+                    w = up[w]
+                return w
+
             for e in edges or ():
-                a, b = group[e["a"]], group[e["b"]]
-                group = {w: min(a, b) if g in (a, b) else g for w, g in group.items()}
+                a, b = top(e["a"]), top(e["b"])
+                up[max(a, b)] = min(a, b)
             parts: dict[str, list[str]] = {}
-            for w, g in group.items():
-                parts.setdefault(g, []).append(w)
-            best = max((sorted(p) for p in parts.values()), key=lambda p: (sum(often[w] for w in p), len(p), p), default=None)
-            keys.append(best)
-        yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(keys, pa.list_(pa.string()))], ["text", "key"])
+            for w in up:
+                parts.setdefault(top(w), []).append(w)
+            keys.append(max((sorted(p) for p in parts.values()), key=lambda p: (sum(often[w] for w in p), len(p), p), default=None))
+        yield pa.RecordBatch.from_arrays([batch.column("first"), pa.array(keys, pa.list_(pa.string()))], ["first", "key"])
 
 
 def parse_tip(df: DataFrame, column: str = "e_message_normalized", threshold: float = 0.5, templates: bool = False) -> DataFrame:
@@ -41,20 +48,23 @@ def parse_tip(df: DataFrame, column: str = "e_message_normalized", threshold: fl
     Ids are numbered by first row; a null message, or one without words, has e_null.
     """
     texts = save(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("text")).agg(F.min(ROW).alias("first"), F.count("*").alias("n")), "texts")
-    words = texts.select("text", "n", F.explode(F.array_distinct(F.filter(blank_split(F.col("text")), lambda t: ~t.rlike("[0-9]")))).alias("word"))
+    words = texts.select("first", "n", F.explode(F.array_distinct(F.filter(blank_split(F.col("text")), lambda t: ~t.rlike("[0-9]")))).alias("word"))
     often = words.groupBy("word").agg(F.sum("n").alias("often"))
-    a, b = words.select("text", "n", F.col("word").alias("a")), words.select("text", F.col("word").alias("b"))
-    pairs = a.join(b, "text").where("a < b")  # the pairs of words inside each message
-    joint = pairs.groupBy("a", "b").agg(F.sum("n").alias("both"))
-    strong = joint.join(often.withColumnsRenamed({"word": "a", "often": "na"}), "a").join(often.withColumnsRenamed({"word": "b", "often": "nb"}), "b")
-    strong = strong.where((F.col("both") >= threshold * F.col("na")) & (F.col("both") >= threshold * F.col("nb"))).select("a", "b")
-    edges = pairs.join(strong, ["a", "b"]).groupBy("text").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
-    known = words.join(often, "word").groupBy("text").agg(F.collect_list(F.struct("word", F.col("often").alias("n"))).alias("words"))
-    keyed = known.join(edges, "text", "left").mapInArrow(_components, "text string, key array<string>").join(texts, "text")
+    known = words.join(often, "word").groupBy("first", "n").agg(F.array_sort(F.collect_list(F.struct("word", F.col("often").alias("n")))).alias("words"))
+    known = save(known, "tip-words")
+    # the pairs of a message's words, of those that may depend on each other by how often they occur at all
+    heads = known.select("first", "n", "words", F.posexplode("words").alias("at", "a"))
+    later = F.expr("slice(words, at + 2, size(words))")
+    may = lambda b: F.least(F.col("a.n"), b["n"]) >= threshold * F.greatest(F.col("a.n"), b["n"])
+    pairs = heads.select("first", "n", "a", F.explode(F.filter(later, may)).alias("b"))
+    pairs = pairs.select("first", "n", F.col("a.word").alias("a"), F.col("b.word").alias("b"), F.greatest("a.n", "b.n").alias("most"))
+    strong = pairs.groupBy("a", "b").agg(F.sum("n").alias("both"), F.max("most").alias("most")).where(F.col("both") >= threshold * F.col("most")).select("a", "b")
+    edges = pairs.join(strong, ["a", "b"]).groupBy("first").agg(F.collect_list(F.struct("a", "b")).alias("edges"))
+    keyed = save(known.select("first", "words").join(edges, "first", "left").mapInArrow(_components, "first long, key array<string>"), "tip-keys")
     shown = F.array_join(F.transform(blank_split(F.col("text")), lambda t: F.when(F.array_contains("key", t), t).otherwise(WILD)), " ")
-    events = keyed.withColumn("shown", shown).groupBy("key").agg(F.min("first").alias("first"), F.min("shown").alias("e_event_tip_template"))
-    ids = events.select("key", "e_event_tip_template", F.concat(F.lit("e"), F.row_number().over(Window.orderBy("first"))).alias("e_event_tip_id"))  # a row for each event
-    named = keyed.select("text", "key").join(ids, "key").select("text", "e_event_tip_id", *(["e_event_tip_template"] if templates else []))
+    events = keyed.join(texts, "first").withColumn("shown", shown).groupBy("key").agg(F.min("first").alias("_first"), F.min("shown").alias("e_event_tip_template"))
+    ids = numbered(events, "_first", "_k").select("key", "e_event_tip_template", F.concat(F.lit("e"), F.col("_k")).alias("e_event_tip_id"))
+    named = texts.select("text", "first").join(keyed.join(ids, "key"), "first").select("text", "e_event_tip_id", *(["e_event_tip_template"] if templates else []))
     out = df.join(named, df[column] == named["text"], "left").drop("text")
     return out.withColumn("e_event_tip_id", F.coalesce("e_event_tip_id", F.lit("e_null")))
 

@@ -7,21 +7,28 @@ a task holds the clusters of one key at a time, never its lines.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...model import ROW, require
 from ...scratch import save
+from ..windows import numbered
 from .bins import WILD, blank_split, short_id
 
 
+#: Lines that a task remembers with their clusters; beyond it, it forgets and works them out again.
+MOST_SEEN = 100_000
+
+
 class Drain:
     """Clusters of one key: a line joins the one that agrees in most positions, sim_th of them at least."""
 
     def __init__(self, sim_th: float = 0.4):
-        self.sim_th, self.found = sim_th, []
+        self.sim_th, self.found, self.changes = sim_th, [], 0
 
     def add(self, tokens: list[str]) -> int:
         best, rank = -1, (-1.0, -1)
@@ -32,8 +39,12 @@ class Drain:
                 best, rank = k, this
         if best < 0 or rank[0] < self.sim_th:
             self.found.append(list(tokens))
+            self.changes += 1
             return len(self.found) - 1
-        self.found[best] = [a if a == b else WILD for a, b in zip(self.found[best], tokens, strict=True)]
+        merged = [a if a == b else WILD for a, b in zip(self.found[best], tokens, strict=True)]
+        if merged != self.found[best]:
+            self.found[best] = merged
+            self.changes += 1
         return best
 
     def template(self, k: int) -> str:
@@ -44,7 +55,7 @@ class LenMa:
     """Clusters of equal word count and first word, joined by exact match or by similar word lengths."""
 
     def __init__(self, threshold: float = 0.9, least_same: int = 3):
-        self.threshold, self.least_same, self.found = threshold, least_same, []
+        self.threshold, self.least_same, self.found, self.changes = threshold, least_same, [], 0
 
     def add(self, words: list[str]) -> int:
         lengths = np.array([len(w) for w in words], float)
@@ -60,9 +71,13 @@ class LenMa:
                 best, rank = k, score
         if best < 0:
             self.found.append((list(words), lengths))
+            self.changes += 1
             return len(self.found) - 1
-        own = self.found[best][0]
-        self.found[best] = ([a if a == b else None for a, b in zip(own, words, strict=True)], lengths)
+        own, sizes = self.found[best]
+        merged = [a if a == b else None for a, b in zip(own, words, strict=True)]
+        if merged != own or (sizes != lengths).any():
+            self.found[best] = (merged, lengths)
+            self.changes += 1
         return best
 
     def template(self, k: int) -> str:
@@ -76,6 +91,28 @@ class Spell:
 
     def __init__(self):
         self.found: list[list[str]] = []
+        self.changes = 0
+        self.holders: dict[str, dict[int, int]] = {}  # which templates have a word, and how often
+
+    def _put(self, k: int, template: list[str]) -> None:
+        old = Counter(self.found[k]) if k < len(self.found) else Counter()
+        self.found[k:] = [template] if k == len(self.found) else [template, *self.found[k + 1 :]]
+        new = Counter(template)
+        for word in old.keys() | new.keys():
+            if new[word]:
+                self.holders.setdefault(word, {})[k] = new[word]
+            elif word in self.holders:
+                self.holders[word].pop(k, None)
+        self.changes += 1
+
+    def _candidates(self, words: list[str], least: float) -> list[int]:
+        """Templates, in order, that share as many words with a line as a common subsequence of least needs."""
+        shared: dict[int, int] = {}
+        for word, n in Counter(words).items():
+            for k, m in self.holders.get(word, {}).items():
+                if word != self.STAR:
+                    shared[k] = shared.get(k, 0) + min(m, n)
+        return sorted(k for k, n in shared.items() if n >= least)
 
     def _walk(self, template: list[str], words: list[str]):
         """(token, where it next stands in words or None, where the search began) for each fixed token."""
@@ -93,13 +130,14 @@ class Spell:
 
     def add(self, words: list[str]) -> int:
         best, most, size = -1, 0, len(words)
-        for k, template in enumerate(self.found):
+        for k in self._candidates(words, max(1, size / 2)):
+            template = self.found[k]
             if size / 2 <= len(template) <= 2 * size:
                 common = sum(hit is not None for _, hit, _ in self._walk(template, words))
                 if common >= size / 2 and common > most:
                     best, most = k, common
         if best < 0:
-            self.found.append(list(words))
+            self._put(len(self.found), list(words))
             return len(self.found) - 1
         merged: list[str] = []
         for token, hit, began in self._walk(self.found[best], words):
@@ -108,7 +146,8 @@ class Spell:
                 merged.append(self.STAR)
             if hit is not None:
                 merged.append(token)
-        self.found[best] = merged or [""]
+        if (merged or [""]) != self.found[best]:
+            self._put(best, merged or [""])
         return best
 
     def template(self, k: int) -> str:
@@ -120,6 +159,7 @@ def _stream(make, names: list[str], at: int):
 
     def run(batches):
         key = machine = None
+        seen: dict[tuple, tuple[int, int]] = {}
         empty = lambda n, schema: [pa.nulls(n, f.type) for f in schema]
 
         def finals(schema):
@@ -136,7 +176,16 @@ def _stream(make, names: list[str], at: int):
                     if machine is not None:
                         ends.append(finals(batch.schema))
                     key, machine = this, make()
-                k = machine.add(tokens)
+                    seen.clear()
+                line = tuple(tokens)
+                before = machine.changes
+                changes, k = seen.get(line, (-1, -1))
+                if changes != before:
+                    k = machine.add(tokens)
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
+                    if machine.changes == before:  # the same line finds the same cluster until something changes
+                        seen[line] = (before, k)
                 clusters.append(k)
                 lines.append(machine.template(k))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(clusters, pa.int32()), pa.array(lines, pa.string()), pa.nulls(len(lines), pa.string())], [*names, "_cluster", "_line", "_final"])
@@ -182,8 +231,7 @@ def parse_drain(df: DataFrame, column: str = "e_message_normalized", templates:
     """
     tokens = drain_tokens(column)
     lines, clusters = _parse(df, tokens, drain_key(tokens), lambda: Drain(sim_th))
-    # a row for each cluster
-    ids = clusters.select("_key", "_cluster", F.concat(F.lit("e"), F.row_number().over(Window.orderBy("_first"))).alias("e_event_drain_id"))
+    ids = numbered(clusters, "_first", "_k").select("_key", "_cluster", F.concat(F.lit("e"), F.col("_k")).alias("e_event_drain_id"))
     out = lines.join(ids, ["_key", "_cluster"]).withColumnRenamed("_line", "e_event_drain_template").drop("_key", "_cluster")
     return _with_nulls(df, out if templates else out.drop("e_event_drain_template"), column)
 

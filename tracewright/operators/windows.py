@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import MESSAGE, ROW, TIME, micros
+from ..scratch import save
 
 RANGES = 64
 
@@ -42,6 +43,14 @@ def running_sum(df: DataFrame, value: Column, order: list[Column], out: str, ran
     return running_sums(df, {out: value}, order, ranges)
 
 
+def numbered(df: DataFrame, order: str, out: str, most: int = 100_000) -> DataFrame:
+    """df with its 1-based number by a numeric column without ties; over ``most`` rows by ranges of it."""
+    df = save(df, "numbered")
+    if df.count() <= most:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(order)).cast("long"))
+    return running_sum(df, F.lit(1), [F.col(order)], out)
+
+
 def _ordered(direction: int) -> list[Column]:
     time = micros(TIME)
     if direction == 1:

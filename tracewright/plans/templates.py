@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import templates as t
 from ..operators.templates import bijection
+from ..scratch import save
 from ..sources.tables import log_documents, log_events
 from .enrichment import EVENTS, sql_mask
 
@@ -20,7 +21,8 @@ def _lines(spark, sf):
     """Masked first lines of events and documents."""
     events = log_events(spark, sf).select("row_id", "m_message")
     docs = log_documents(spark, sf).select((F.col("row_id") + 1_000_000).alias("row_id"), "m_message")
-    return events.union(docs).select("row_id", text.mask(F.col("m_message")).alias("e_message_normalized"))
+    # saved, because parsers read their lines twice and the masks are costly
+    return save(events.union(docs).select("row_id", text.mask(F.col("m_message")).alias("e_message_normalized")), "lines")
 
 
 def query(sql: str | None = None):
@@ -61,9 +63,10 @@ v AS (SELECT DISTINCT size, root, root_words, unnest(ws) AS word FROM (SELECT si
 q AS (SELECT g.text, g.pos, CASE WHEN contains(g.word, '<*>') OR v.word IS NOT NULL OR (len(regexp_extract_all(g.word, '\p{Nd}')) > 0 AND len(regexp_extract_all(g.word, '\p{Nd}')) / length(g.word) >= 0.3) THEN '<*>' ELSE g.word END AS shown
  FROM g LEFT JOIN v ON g.size = v.size AND g.root = v.root AND g.root_words = v.root_words AND g.word = v.word),
 k AS (SELECT text, string_agg(shown, ' ' ORDER BY pos) AS e_template_brain FROM q GROUP BY text)
-SELECT m.row_id, e_template_brain FROM m LEFT JOIN k USING (text)""")
+, i AS (SELECT e_template_brain, 'E' || (row_number() OVER (ORDER BY min(first)) - 1) AS e_event_brain_id FROM k JOIN d USING (text) GROUP BY 1)
+SELECT m.row_id, e_template_brain, e_event_brain_id FROM m LEFT JOIN k USING (text) LEFT JOIN i USING (e_template_brain)""")
 def brain_templates(spark, sf):
-    return t.parse_brain(_lines(spark, sf)).select("row_id", "e_template_brain")
+    return t.parse_brain(_lines(spark, sf)).select("row_id", "e_template_brain", "e_event_brain_id")
 
 
 @query(LINES + r""", d AS (SELECT text, list_filter(regexp_split_to_array(text, '[\s=:,]'), lambda x: x <> '') AS w FROM m WHERE text IS NOT NULL GROUP BY text)
@@ -106,9 +109,9 @@ def lenma_templates(spark, sf):
 
 @query()
 def spell_templates(spark, sf):
-    return t.parse_spell(log_events(spark, sf).select("row_id", text.mask(F.col("m_message")).alias("e_message_normalized")))
+    return t.parse_spell(_lines(spark, sf))
 
 
 @query()
 def tip_templates(spark, sf):
-    return t.parse_tip(log_events(spark, sf).select("row_id", text.mask(F.col("m_message")).alias("e_message_normalized")), templates=True)
+    return t.parse_tip(_lines(spark, sf), templates=True)
