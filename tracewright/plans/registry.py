@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, enrichment, templates
+from . import detection, enrichment, loading, templates
 
-QUERIES = {**enrichment.QUERIES, **detection.QUERIES, **templates.QUERIES}
-ORACLES = {**enrichment.ORACLES, **detection.ORACLES, **templates.ORACLES}
+QUERIES = {**enrichment.QUERIES, **detection.QUERIES, **templates.QUERIES, **loading.QUERIES}
+ORACLES = {**enrichment.ORACLES, **detection.ORACLES, **templates.ORACLES, **loading.ORACLES}

@@ -32,6 +32,20 @@ def _file_system(spark: SparkSession, path: str):
     return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), there
 
 
+def _folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the process ends."""
+    folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+    files, there = _file_system(spark, folder)
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own for files that go when the process ends."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -40,16 +54,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     session's process ends. The shuffle files of the writing go at once.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
-    files, there = _file_system(spark, folder)
-    files.deleteOnExit(there)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     if _scopes:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,28 @@ def write_lines(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws(" ", *(F.col(f"`{c}`").cast("string") for c in df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_files(df: DataFrame, path: str, file: str = "file", order: str = "row_id", value: str = "value") -> None:
+    """A text file of the values of each ``file`` (a path below path), in order.
+
+    Each file is one task's; the driver gives the files their names, one by one.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(file).alias("_file"), F.col(order).alias("_order"), F.col(value).alias("value"))
+    sorted_ = rows.repartition("_file").sortWithinPartitions("_file", "_order")
+    sorted_.select("_file", "value").write.mode("overwrite").partitionBy("_file").text(f"{path}/_parts")
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = to_path(f"{path}/_parts")
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for folder in files.listStatus(root):
+        name = unquote(folder.getPath().getName())
+        if name.startswith("_file="):
+            for part in files.globStatus(to_path(folder.getPath(), "part-*")):
+                target = to_path(f"{path}/{name.removeprefix('_file=')}")
+                files.mkdirs(target.getParent())
+                files.rename(part.getPath(), target)
+    files.delete(root, True)
+
+
 def latex_table(df: DataFrame) -> str:
     """A small table as LaTeX."""
     rows = [" & ".join(df.columns), *(" & ".join("" if v is None else str(v) for v in r) for r in df.collect())]
