@@ -3,13 +3,17 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from tracewright.operators.detect import metrics
 from tracewright.operators.detect.detector import SUPERVISED, UNSUPERVISED, AnomalyDetector
+from tracewright.operators.detect.features import Vectorizer
 from tracewright.operators.detect.features import test_train_split as split
 from tracewright.operators.detect.items import OOV_detector, RarityModel, items_of
 from tracewright.operators.explain import NNExplainer, ShapExplainer, tree_shap
+from tracewright.sources.sinks import load_model, save_model
 
 
 @pytest.fixture(scope="module")
@@ -131,3 +135,84 @@ def test_metrics_are_exact(spark):
     assert sum(r.n for r in metrics.histogram(df, "score", 4).collect()) == 201
     vectors = df.where("score IS NOT NULL").withColumn("features", array_to_vector(F.array("score")))
     assert vectors.count() == 201
+
+
+def test_any_object_is_trained(log):
+    class Threshold:
+        """Anomalies have more than the training rows' median sum."""
+
+        def fit(self, x, y=None):
+            self.limit = np.median(x.sum(1)) + 0.5
+            return self
+
+        def predict(self, x):
+            return (x.sum(1) > self.limit).astype(int)
+
+    ad = AnomalyDetector("e_words")
+    ad.test_train_split(log, 0.5)
+    for model, name in ((Threshold(), "Threshold"), (NaiveBayes(), "Bayes")):
+        out = ad.train_model(model, name).evaluate()
+        assert out.count() == 150 and {"score", "pred_ano"} <= set(out.columns)
+    got = {r.model: r for r in ad.results().collect()}
+    assert set(got) == {"Threshold", "Bayes"} and all(r.auc > 0.95 for r in got.values())
+
+
+def test_tfidf_features(spark):
+    df = spark.createDataFrame([(1, ["a", "a", "b"], True), (2, ["a"], False), (3, ["c"], False)], "row_id long, w array<string>, anomaly boolean")
+    v = Vectorizer("w", vectorizer="tfidf").fit(df)
+    got = {r.row_id: dict(zip(v.names(3), r.features.toArray(), strict=True)) for r in v.transform(df).collect()}
+    one, two = np.log(4 / 3) + 1, np.log(4 / 2) + 1
+    size = np.hypot(2 * one, two)
+    assert np.isclose(got[1]["a"], 2 * one / size) and np.isclose(got[1]["b"], two / size) and got[2]["a"] == 1.0 and got[3]["c"] == 1.0
+    own = Vectorizer("w", ["row_id"], vectorizer=lambda i, o: HashingTF(inputCol=i, outputCol=o, numFeatures=16)).fit(df)
+    assert len(own.transform(df).first().features) == 17 and own.names(17)[-1] == "row_id"
+    with pytest.raises(ValueError):
+        Vectorizer("w", vectorizer="other")
+    ad = AnomalyDetector("w", vectorizer="tfidf")
+    ad.set_data(df, df)
+    assert ad.train("DT").predict().count() == 3
+
+
+def test_margins_are_calibrated(spark):
+    rng = random.Random(3)
+    rows = [(k, [x := rng.gauss(0, 1)], rng.random() < 1 / (1 + np.exp(-2 * x))) for k in range(2000)]
+    df = spark.createDataFrame([(k, float(x[0]), bool(y)) for k, x, y in rows], "row_id long, x double, anomaly boolean")
+    ad = AnomalyDetector(numeric_cols=["x"])
+    ad.test_train_split(df, 0.5)
+    out = ad.train("LSVM").predict().collect()
+    for low in (0.0, 0.25, 0.5, 0.75):
+        part = [r for r in out if low <= r.score < low + 0.25]
+        assert abs(np.mean([r.anomaly for r in part]) - np.mean([r.score for r in part])) < 0.1
+
+
+@pytest.mark.parametrize("name", ["LR", "IsolationForest", "LOF", "OneClassSVM", "RarityModel", "OOVDetector"])
+def test_models_are_kept(spark, log, tmp_path, name):
+    ad = AnomalyDetector("e_words", ["n"])
+    ad.test_train_split(log, 0.5)
+    ad.train(name)
+    before = {r.row_id: (r.score, r.pred_ano) for r in ad.predict().collect()}
+    save_model(ad.model, f"{tmp_path}/m")
+    ad.model = load_model(spark, f"{tmp_path}/m")
+    assert {r.row_id: (r.score, r.pred_ano) for r in ad.predict().collect()} == before
+    save_model(ad.used if name not in ("RarityModel", "OOVDetector") else ad.x, f"{tmp_path}/v")
+    assert load_model(spark, f"{tmp_path}/v").transform(log).count() == 300
+
+
+def test_forest_is_explained(log):
+    ad = AnomalyDetector("e_words", ["n"])
+    ad.test_train_split(log, 0.5)
+    ad.train("IsolationForest", n_estimators=10)
+    rows = ad.test_x.select("row_id", "features").limit(5).collect()
+    values = {r.row_id: r.shap for r in ShapExplainer(ad).values().collect()}
+    model = ad.model
+
+    def mean(tree):
+        return tree[0] if len(tree) == 2 else (mean(tree[2]) * tree[2][-1] + mean(tree[3]) * tree[3][-1]) / tree[-1]
+
+    expected = np.mean([mean(t) for t in model.trees])
+    for r in rows:
+        x, total = r.features.toArray()[None], np.zeros(1)
+        for t in model.trees:
+            model._paths(t, x, np.arange(1), total)
+        assert np.isclose(expected + sum(values[r.row_id]), total[0] / 10)
+    assert ShapExplainer(ad).sorted_featurenames()

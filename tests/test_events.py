@@ -50,7 +50,7 @@ def test_text_columns(spark):
 
 def test_guards_audit_and_labels(spark):
     df = spark.createDataFrame([(1, "ok", True), (2, None, False), (3, "bad �", None)], "row_id long, m_message string, normal boolean")
-    with pytest.raises(ValueError, match="Missing prerequisites"):
+    with pytest.raises(ValueError, match="needs columns"):
         EventLogEnhancer(df).words("none")
     with pytest.raises(ValueError, match="mandatory"):
         model.check_mandatory(df)

@@ -17,7 +17,7 @@ REPLACEMENT = "�"
 def require(df: DataFrame, *columns: str) -> None:
     """Raise ValueError unless df has the columns."""
     if missing := [c for c in columns if c not in df.columns]:
-        raise ValueError(f"Missing prerequisites for enrichment: {', '.join(missing)}")
+        raise ValueError(f"This step needs columns that are not there: {', '.join(missing)}")
 
 
 def check_mandatory(df: DataFrame, columns: tuple[str, ...] = (MESSAGE, TIME)) -> None:
@@ -60,6 +60,11 @@ def partition_by_pattern(df: DataFrame, pattern: str, column: str = MESSAGE) ->
     return df.where(~hit), df.where(hit)
 
 
+def of_sequences(df: DataFrame, sequences: DataFrame, key: str = SEQUENCE) -> DataFrame:
+    """The events of df whose sequence is in sequences."""
+    return df.join(sequences.select(key), key, "left_semi")
+
+
 def reduce_rows(df: DataFrame, df_seq: DataFrame | None = None, frac: float = 0.5, seed: int = 42) -> tuple[DataFrame, DataFrame | None]:
     """A sample without replacement of exactly int(frac * n) sequences (one at least) or events.
 
@@ -82,7 +87,7 @@ def reduce_rows(df: DataFrame, df_seq: DataFrame | None = None, frac: float = 0.
     rows = keyed.join(kept, keyed[key] == kept["_key"], "left_semi")
     if df_seq is None:
         return rows, None
-    return df.join(rows.select(SEQUENCE), SEQUENCE, "left_semi"), rows
+    return of_sequences(df, rows), rows
 
 
 def micros(time: str | Column) -> Column:

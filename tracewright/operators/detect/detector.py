@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml import classification as C
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +18,19 @@ from ...scratch import save
 from . import metrics
 from .features import Vectorizer, test_train_split
 from .items import OOV_detector, RarityModel
-from .models import IsolationForest, LocalOutlierFactor, OneClassSVM
+from .models import IsolationForest, LocalOutlierFactor, OneClassSVM, Outside
 
 SUPERVISED = ("LR", "DT", "LSVM", "RF", "XGB")
 UNSUPERVISED = ("IsolationForest", "LOF", "KMeans", "OneClassSVM", "RarityModel", "OOVDetector")
+#: Folds of the linear SVM's calibration, and rows that an object from outside learns from at most.
+FOLDS, MOST_ROWS = 3, 100_000
 RESULTS = "run long, model string, supervised boolean, signature string, accuracy double, f1 double, auc double, tp long, fp long, fn long, tn long"
 
 
+def _margin():
+    return F.get(vector_to_array("rawPrediction"), F.lit(1))
+
+
 class AnomalyDetector:
     """Detectors over one item column, numeric columns and an embedding column.
 
@@ -30,9 +38,10 @@ class AnomalyDetector:
     measures, which results() returns.
     """
 
-    def __init__(self, item_list_col=None, numeric_cols=None, emb_list_col=None, label_col="anomaly", seed=42):
+    def __init__(self, item_list_col=None, numeric_cols=None, emb_list_col=None, label_col="anomaly", seed=42, vectorizer="count"):
         self.items, self.numbers, self.embedding, self.label, self.seed = item_list_col, list(numeric_cols or []), emb_list_col, label_col, seed
-        self.vectors = Vectorizer(item_list_col, numeric_cols, emb_list_col)
+        self.vectorizer = vectorizer
+        self.vectors = Vectorizer(item_list_col, numeric_cols, emb_list_col, vectorizer)
         self.model = self.name = None
         self.stored: list[tuple] = []
 
@@ -42,7 +51,11 @@ class AnomalyDetector:
 
     # --- data
 
-    def test_train_split(self, df: DataFrame, test_frac: float = 0.9, shuffle: bool = True) -> None:
+    def test_train_split(self, df: DataFrame, test_frac: float = 0.9, shuffle: bool = True, vectorizer=None) -> None:
+        """Split df and fit the features; vectorizer, if given, replaces the detector's, see Vectorizer."""
+        if vectorizer is not None:
+            self.vectorizer = vectorizer
+            self.vectors = Vectorizer(self.items, self.numbers, self.embedding, vectorizer)
         self.train_df, self.test_df = test_train_split(df, test_frac, shuffle, self.seed)
         self.prepare()
 
@@ -57,7 +70,7 @@ class AnomalyDetector:
         self.labelled = labelled
         self.clean_df = clean
         self.x = self.vectors.fit(self.train_df)
-        self.x_clean = Vectorizer(self.items, self.numbers, self.embedding).fit(clean) if labelled else self.x
+        self.x_clean = Vectorizer(self.items, self.numbers, self.embedding, self.vectorizer).fit(clean) if labelled else self.x
 
     def _rows(self, filter_anos: bool) -> tuple[DataFrame, DataFrame, Vectorizer]:
         vectors, train = (self.x_clean, self.clean_df) if filter_anos else (self.x, self.train_df)
@@ -93,8 +106,22 @@ class AnomalyDetector:
         return C.DecisionTreeClassifier(labelCol="_y", maxDepth=max_depth, seed=self.seed).fit(train)
 
     def _LSVM(self, train, max_iter=400, tol=0.01, C_=1.0):
+        """The margin's logistic, fitted on margins of FOLDS models that have not seen their rows, gives the score."""
         n = max(1, train.count())
-        return C.LinearSVC(labelCol="_y", maxIter=max_iter, tol=tol, regParam=1 / (C_ * n), standardization=False).fit(train)
+        fit = lambda rows, share: C.LinearSVC(labelCol="_y", maxIter=max_iter, tol=tol, regParam=1 / (C_ * max(1, n * share)), standardization=False).fit(rows)
+        fold = F.pmod(F.xxhash64(F.lit(self.seed), F.col(ROW)), F.lit(FOLDS))
+        folds = []
+        for k in range(FOLDS):
+            others = train.where(fold != k)
+            if others.select("_y").distinct().count() == 2:
+                folds.append(fit(others, 1 - 1 / FOLDS).transform(train.where(fold == k)).select("_y", _margin().alias("_m")))
+        self.platt = (1.0, 0.0)
+        if folds:
+            rows = VectorAssembler(inputCols=["_m"], outputCol="_v").transform(save(reduce(DataFrame.union, folds), "margins"))
+            if rows.select("_y").distinct().count() == 2:
+                slope = C.LogisticRegression(featuresCol="_v", labelCol="_y", standardization=False).fit(rows)
+                self.platt = (float(slope.coefficients[0]), float(slope.intercept))
+        return fit(train, 1)
 
     def _RF(self, train, n_estimators=100, max_depth=15):
         return C.RandomForestClassifier(labelCol="_y", numTrees=n_estimators, maxDepth=max_depth, seed=self.seed).fit(train)
@@ -114,6 +141,28 @@ class AnomalyDetector:
     def _OneClassSVM(self, train, **options):
         return OneClassSVM(seed=self.seed, **options).fit(train)
 
+    def train_model(self, model, name: str | None = None, filter_anos: bool = False, most: int = MOST_ROWS) -> AnomalyDetector:
+        """Train any object.
+
+        A Spark ML estimator, whose columns features, label and prediction are set where
+        it has such parameters, learns from all rows. Any other object with fit(x) or
+        fit(x, y), and predict(x), for arrays of features, learns on the driver from at
+        most ``most`` training rows, by the hash of row_id; it predicts on the executors,
+        1 or -1 as an anomaly's class. Give a new object, it is changed.
+        """
+        train, self.test_x, self.used = self._rows(filter_anos)
+        self.filter_anos, self.name = filter_anos, name or type(model).__name__
+        if self.labelled:
+            train = train.where(F.col(self.label).isNotNull()).withColumn("_y", F.col(self.label).cast("boolean").cast("double"))
+        if hasattr(model, "extractParamMap"):
+            for key, value in (("featuresCol", "features"), ("labelCol", "_y"), ("predictionCol", "prediction")):
+                if model.hasParam(key):
+                    model.set(model.getParam(key), value)
+            self.model = model.fit(train)
+        else:
+            self.model = Outside(model).fit(train.select(ROW, "features", *(["_y"] if self.labelled else [])), most, self.seed)
+        return self
+
     def __getattr__(self, name):
         """train_LR(), train_DT() and so on."""
         if name.startswith("train_") and name[6:] in SUPERVISED + UNSUPERVISED:
@@ -127,16 +176,17 @@ class AnomalyDetector:
             raise ValueError("Train a model first")
         if self.name in ("RarityModel", "OOVDetector"):
             return self.test_df.join(self.model.predict(self.test_df, self.items), ROW)
-        if self.name in ("IsolationForest", "LOF", "OneClassSVM"):
+        if isinstance(self.model, (IsolationForest, LocalOutlierFactor, OneClassSVM, Outside)):
             return self.model.transform(self.test_x).drop("features")
         out = self.model.transform(self.test_x)
         if self.name == "KMeans":
             return self._far(out)
         if self.name == "LSVM":
-            margin = F.get(vector_to_array("rawPrediction"), F.lit(1))
-            score = 1 / (1 + F.exp(-margin))
-        else:
+            score = 1 / (1 + F.exp(-(self.platt[0] * _margin() + self.platt[1])))
+        elif "probability" in out.columns:
             score = F.get(vector_to_array("probability"), F.lit(1))
+        else:
+            score = F.col("prediction").cast("double")
         return out.withColumns({"score": score, "pred_ano": F.col("prediction").cast("int")}).drop("features", "rawPrediction", "probability", "prediction")
 
     def _far(self, out: DataFrame) -> DataFrame:

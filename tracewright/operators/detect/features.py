@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, VectorAssembler
+import math
+from collections.abc import Callable
+
+from pyspark.ml import Transformer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +55,53 @@ def _split_at(keyed: DataFrame, wanted: int) -> tuple[int, int]:
 
 
 class Vectorizer:
-    """Bags of items, embeddings and numbers as one vector column ``features``."""
+    """Bags of items, embeddings and numbers as one vector column ``features``.
+
+    vectorizer says what a bag becomes: "count", "tfidf" (smoothed inverse document
+    frequencies, at length 1), or a function that makes a Spark ML estimator or
+    transformer from the names of its input column, lists of strings, and its output
+    column, vectors.
+    """
 
-    def __init__(self, item_list_col: str | None = None, numeric_cols: list[str] | None = None, emb_list_col: str | None = None):
+    def __init__(self, item_list_col: str | None = None, numeric_cols: list[str] | None = None, emb_list_col: str | None = None, vectorizer: str | Callable = "count"):
         if not (item_list_col or numeric_cols or emb_list_col):
             raise ValueError("No columns to make features of")
         self.items, self.numbers, self.embedding = item_list_col, list(numeric_cols or []), emb_list_col
-        self.bag: CountVectorizerModel | None = None
+        if vectorizer not in ("count", "tfidf") and not callable(vectorizer):
+            raise ValueError(f"No vectorizer {vectorizer}")
+        self.vectorizer = vectorizer
+        self.bag: Transformer | None = None
+        self.weights: list[float] | None = None
 
     def _items(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_items", F.coalesce(F.filter(items_of(df, self.items), lambda x: x.isNotNull()), F.array().cast("array<string>")))
 
     def fit(self, df: DataFrame) -> Vectorizer:
-        if self.items:
-            self.bag = CountVectorizer(inputCol="_items", outputCol="_bag", vocabSize=VOCABULARY, minDF=1).fit(self._items(df))
+        if not self.items:
+            return self
+        rows = self._items(df)
+        if callable(self.vectorizer):
+            made = self.vectorizer("_items", "_bag")
+            self.bag = made.fit(rows) if hasattr(made, "fit") else made
+            return self
+        self.bag = CountVectorizer(inputCol="_items", outputCol="_bag", vocabSize=VOCABULARY, minDF=1).fit(rows)
+        if self.vectorizer == "tfidf":
+            counted = IDF(inputCol="_bag", outputCol="_idf").fit(self.bag.transform(rows))
+            self.weights = [math.log((1 + counted.numDocs) / (1 + n)) + 1 for n in counted.docFreq]
         return self
 
+    def _bags(self, df: DataFrame) -> DataFrame:
+        out = self.bag.transform(self._items(df))
+        if self.weights is None:
+            return out
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.weights), inputCol="_bag", outputCol="_scaled").transform(out)
+        return Normalizer(inputCol="_scaled", outputCol="_unit").transform(scaled).drop("_bag", "_scaled").withColumnRenamed("_unit", "_bag")
+
     def transform(self, df: DataFrame) -> DataFrame:
         parts = []
         out = df
         if self.items:
-            out, parts = self.bag.transform(self._items(out)), ["_bag"]
+            out, parts = self._bags(out), ["_bag"]
         if self.embedding:
             out, parts = out.withColumn("_emb", array_to_vector(F.col(self.embedding).cast("array<double>"))), [*parts, "_emb"]
         for k, c in enumerate(self.numbers):
@@ -80,6 +111,8 @@ class Vectorizer:
 
     def names(self, size: int) -> list[str]:
         """What each position of a vector is."""
-        bag = list(self.bag.vocabulary) if self.bag is not None else []
+        bag = list(getattr(self.bag, "vocabulary", []))
         middle = size - len(bag) - len(self.numbers)
+        if self.bag is not None and not bag:  # features of another vectorizer have no names of their own
+            return [f"feature[{k}]" for k in range(middle)] + self.numbers
         return bag + [f"{self.embedding}[{k}]" for k in range(middle)] + self.numbers

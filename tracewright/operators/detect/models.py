@@ -46,34 +46,63 @@ class IsolationForest:
         self.norm = max(_average_path(size), 1e-12)
         return self
 
-    def _tree(self, x, depth, rng):
+    def _tree(self, x, depth, rng, above=0):
+        """(path length, rows) of a leaf; (feature, threshold, left, right, rows) of a split."""
         varied = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
         if depth == 0 or not len(varied):
-            return _average_path(len(x))
+            return above + _average_path(len(x)), float(len(x))
         k = int(rng.choice(varied))
         at = rng.uniform(x[:, k].min(), x[:, k].max())
         left = x[:, k] <= at
-        return k, float(at), self._tree(x[left], depth - 1, rng), self._tree(x[~left], depth - 1, rng)
+        return k, float(at), self._tree(x[left], depth - 1, rng, above + 1), self._tree(x[~left], depth - 1, rng, above + 1), float(len(x))
 
-    def _paths(self, tree, x, rows, depth, out):
-        if not isinstance(tree, tuple):
-            out[rows] += depth + tree
+    def _paths(self, tree, x, rows, out):
+        if len(tree) == 2:
+            out[rows] += tree[0]
             return
-        k, at, low, high = tree
+        k, at, low, high, _ = tree
         left = x[rows, k] <= at
-        self._paths(low, x, rows[left], depth + 1, out)
-        self._paths(high, x, rows[~left], depth + 1, out)
+        self._paths(low, x, rows[left], out)
+        self._paths(high, x, rows[~left], out)
 
     def decide(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         for tree in self.trees:
-            self._paths(tree, x, np.arange(len(x)), 0, total)
+            self._paths(tree, x, np.arange(len(x)), total)
         return 0.5 - 2 ** (-total / max(1, len(self.trees)) / self.norm)
 
     def transform(self, df: DataFrame) -> DataFrame:
         return _scored(df, lambda x: (d := self.decide(x), 1 - d)[1], lambda s: s > 1)
 
 
+class Outside:
+    """An object with fit and predict for arrays, fitted on the driver and applied by batches."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def fit(self, df: DataFrame, most: int, seed: int) -> Outside:
+        labelled = "_y" in df.columns
+        rows = df.orderBy(F.xxhash64(F.lit(seed), F.col(ROW)), ROW).limit(most).collect()
+        x = np.array([r["features"].toArray() for r in rows])
+        try:
+            self.model.fit(x, np.array([r["_y"] for r in rows])) if labelled else self.model.fit(x)
+        except TypeError:  # it takes no labels
+            self.model.fit(x)
+        return self
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        made = np.asarray(self.model.predict(x), float)
+        return np.where(made < 0, 1.0, np.where((made == 1) & (self._signed()), 0.0, made))
+
+    def _signed(self) -> bool:
+        """Whether it says 1 for normal rows and -1 for others."""
+        return bool(getattr(self.model, "signed", hasattr(self.model, "decision_function") and not hasattr(self.model, "classes_")))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return _scored(df, self.score, lambda s: s >= 0.5)
+
+
 class OneClassSVM:
     """The smallest half-space of random Fourier features that holds all but a share nu of the rows.
 

@@ -16,10 +16,16 @@ from .sequences import in_row_order
 
 
 class LogDistance:
-    """Distances between field of df_train and of df_analyze; lists are joined by spaces first."""
+    """Distances between field of df_train and of df_analyze; lists are joined by spaces first.
 
-    def __init__(self, df_train: DataFrame, df_analyze: DataFrame, field: str = MESSAGE):
-        self.sides = []
+    vectorizer "count" weighs a term by its count, "tfidf" also by its smoothed inverse
+    frequency in the two logs; jaccard and containment don't depend on it.
+    """
+
+    def __init__(self, df_train: DataFrame, df_analyze: DataFrame, field: str = MESSAGE, vectorizer: str = "count"):
+        if vectorizer not in ("count", "tfidf"):
+            raise ValueError(f"No vectorizer {vectorizer}")
+        self.sides, self.vectorizer = [], vectorizer
         for df in (df_train, df_analyze):
             text = F.array_join(field, " ") if isinstance(df.schema[field].dataType, T.ArrayType) else F.col(field)
             self.sides.append(df.select(*([ROW] if ROW in df.columns else []), text.alias("text")))
@@ -31,7 +37,9 @@ class LogDistance:
 
     def measures(self) -> DataFrame:
         """One row: cosine, jaccard, containment; null where neither log has a term."""
-        a, b = F.col("a").cast("double"), F.col("b").cast("double")
+        logs = (F.col("a") > 0).cast("int") + (F.col("b") > 0).cast("int")
+        weight = F.ln(3 / (1 + logs)) + 1 if self.vectorizer == "tfidf" else F.lit(1.0)
+        a, b = F.col("a") * weight, F.col("b") * weight
         both, one, other = F.count_if((a > 0) & (b > 0)), F.count_if(a > 0), F.count_if(b > 0)
         sums = self.shared_terms().agg(F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), both.alias("both"), one.alias("one"), other.alias("other"), F.count("*").alias("all"))
         least = F.least("one", "other")

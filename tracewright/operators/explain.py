@@ -53,12 +53,13 @@ class ShapExplainer:
 
     Linear models have them in closed form, weight times distance from the mean. For trees
     they are exact, by weighing both ways at each split with a feature that isn't known
-    (path-dependent expectations), for up to MOST_FEATURES features.
+    (path-dependent expectations), for up to MOST_FEATURES features. Those of an isolation
+    forest explain the mean path length: negative ones make a row more of an anomaly.
     """
 
     def __init__(self, detector, ignore_warning: bool = False):
         self.detector, self.ignore = detector, ignore_warning
-        self.kind = {"LR": "linear", "LSVM": "linear", "DT": "tree", "RF": "tree", "XGB": "tree"}.get(detector.name)
+        self.kind = {"LR": "linear", "LSVM": "linear", "DT": "tree", "RF": "tree", "XGB": "tree", "IsolationForest": "tree"}.get(detector.name)
         if self.kind is None:
             raise NotImplementedError(f"No explanation for {detector.name}")
 
@@ -84,7 +85,10 @@ class ShapExplainer:
                 return pd.Series(list((np.stack(v.to_numpy()) - mean) * weights)) if len(v) else pd.Series([], dtype=object)
 
             return rows.select(ROW, linear(x).alias("shap"))
-        trees = [(self._tree(t._call_java("rootNode"), self.detector.name), w) for t, w in self._trees(model)]
+        if self.detector.name == "IsolationForest":
+            trees = [(t, 1 / len(model.trees)) for t in model.trees]
+        else:
+            trees = [(self._tree(t._call_java("rootNode"), self.detector.name), w) for t, w in self._trees(model)]
 
         @F.pandas_udf("array<double>")
         def by_trees(v: pd.Series) -> pd.Series:

@@ -123,7 +123,8 @@ def parse_pliplom(df: DataFrame, column: str = "e_message_normalized", CT: float
     tree = leaves.select("size", "key2", "key3").distinct()  # a row for each leaf
     number = lambda by, key: F.dense_rank().over(Window.partitionBy(*by).orderBy(key))
     part = lambda by, key: F.when(F.col(key).isNotNull(), F.concat(F.lit("e"), number(by, key))).otherwise("")
-    ids = tree.select("size", "key2", "key3", F.concat(F.lit("e"), F.dense_rank().over(Window.orderBy("size")), part(["size"], "key2"), part(["size", "key2"], "key3")).alias("id"))
+    sizes = tree.select("size").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("size")))  # as many as lengths
+    ids = tree.join(sizes, "size").select("size", "key2", "key3", F.concat(F.lit("e"), "_nth", part(["size"], "key2"), part(["size", "key2"], "key3")).alias("id"))
     joined = _join_safe(leaves, ids, ["size", "key2", "key3"])
     shown = joined.select("text", F.when(F.col("outlier"), "outlier_e").otherwise(F.col("id")).alias("e_event_pliplom_id"), F.when(F.col("outlier"), "outlier").otherwise(F.col("template")).alias("e_template_pliplom"))
     return _attach(df, column, shown)

@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...model import ROW, require
+from ...functions.text import MASKS, mask
+from ...model import MESSAGE, ROW, require
 from ...scratch import save
 from ..windows import numbered
 from .bins import WILD, blank_split, short_id
@@ -213,9 +214,13 @@ def _with_nulls(df: DataFrame, out: DataFrame, column: str) -> DataFrame:
     return out.unionByName(df.where(F.col(column).isNull()), allowMissingColumns=True)
 
 
-def drain_tokens(column: str) -> Column:
+def drain_tokens_of(message: Column) -> Column:
     """Tokens between white space and underscores."""
-    return blank_split(F.replace(F.col(column), F.lit("_"), F.lit(" ")))
+    return blank_split(F.replace(message, F.lit("_"), F.lit(" ")))
+
+
+def drain_tokens(column: str) -> Column:
+    return drain_tokens_of(F.col(column))
 
 
 def drain_key(tokens: Column) -> Column:
@@ -224,11 +229,17 @@ def drain_key(tokens: Column) -> Column:
     return F.concat_ws(" ", F.size(tokens).cast("string"), F.when(F.size(tokens) > 1, first))
 
 
-def parse_drain(df: DataFrame, column: str = "e_message_normalized", templates: bool = False, sim_th: float = 0.4) -> DataFrame:
+def parse_drain(df: DataFrame, column: str = "e_message_normalized", templates: bool = False, sim_th: float = 0.4, drain_masking: bool = False) -> DataFrame:
     """df with e_event_drain_id, numbered by first row, and with templates also each line's template then.
 
-    There is no limit on clusters or on a node's children.
+    drain_masking takes the first line of m_message, with masks of the parser's own form
+    <:NUM:>, in place of column. There is no limit on clusters or on a node's children.
     """
+    if drain_masking:
+        require(df, MESSAGE)
+        masked = [(to.replace("<", "<:").replace(">", ":>"), pattern) for to, pattern in MASKS]
+        made = parse_drain(df.withColumn("_masked", mask(F.col(MESSAGE), masked)), "_masked", templates, sim_th)
+        return made.drop("_masked")
     tokens = drain_tokens(column)
     lines, clusters = _parse(df, tokens, drain_key(tokens), lambda: Drain(sim_th))
     ids = numbered(clusters, "_first", "_k").select("_key", "_cluster", F.concat(F.lit("e"), F.col("_k")).alias("e_event_drain_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..model import MESSAGE, ROW, TIME, micros
 from ..scratch import save
 
-RANGES = 64
+RANGES, CHUNK = 64, 20
 
 
 def running_sums(df: DataFrame, values: dict[str, Column], order: list[Column], ranges: int = RANGES) -> DataFrame:
@@ -60,9 +60,15 @@ def _ordered(direction: int) -> list[Column]:
     return [F.col(ROW)]
 
 
-def first_seen(df: DataFrame, column: str, direction: int = 1) -> Column:
-    """Whether a row is the first with its value; null is a value."""
-    return F.row_number().over(Window.partitionBy(column).orderBy(*_ordered(direction))) == 1
+def mark_first(df: DataFrame, column: str, direction: int = 1, out: str = "_first") -> DataFrame:
+    """df with out: whether a row is the first with its value; null is a value.
+
+    The first place of each value comes from partial aggregation and is joined back, so a
+    value that many rows have never meets in one task.
+    """
+    place = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(_ordered(direction))))
+    least = df.groupBy(F.col(column).alias("_value")).agg(F.min(place).alias("_least"))
+    return df.join(least, F.col(column).eqNullSafe(F.col("_value")), "left").withColumn(out, place.eqNullSafe(F.col("_least"))).drop("_value", "_least")
 
 
 def item_cumsum(df: DataFrame, column: str = "e_message_normalized", chronological_order: int | bool = 1, ano_only: bool = True, unique_only: bool = True, out_column: str | None = None, ranges: int = RANGES) -> DataFrame:
@@ -73,24 +79,46 @@ def item_cumsum(df: DataFrame, column: str = "e_message_normalized", chronologic
     direction = int(chronological_order)
     flag = F.lit(True)
     if unique_only:
-        df = df.withColumn("_first", first_seen(df, column, direction))
+        df = mark_first(df, column, direction)
         flag = flag & F.col("_first")
     if ano_only:
         flag = flag & F.coalesce(F.col("anomaly"), F.lit(False))
     name = out_column or "cumu_items_" + "un" * unique_only + "an" * ano_only
-    return running_sum(df, flag.cast("long"), _ordered(direction), name, ranges).drop("_first")
+    order = _ordered(direction)
+    rows = save(df.withColumn("_counts", flag.cast("long")), "cumulative") if unique_only else df.withColumn("_counts", flag.cast("long"))
+    return running_sum(rows, F.col("_counts"), order, name, ranges).drop("_first", "_counts")
+
+
+def _with_carry(df: DataFrame, by: tuple[str, ...], what: Column, over: Column, rows: tuple[int, int]) -> DataFrame:
+    """df with _chunk and _carry: over the values of ``what`` of the chunks of its file that lie in rows.
+
+    A chunk is 2^CHUNK row ids, so no task holds more of a file than that at once; what is
+    carried is one value for each chunk.
+    """
+    chunked = df.withColumn("_chunk", F.shiftright(ROW, CHUNK))
+    window = Window.partitionBy(*(f"_by{k}" for k in range(len(by)))).orderBy("_key").rowsBetween(*rows)
+    one = chunked.groupBy(*(F.col(c).alias(f"_by{k}") for k, c in enumerate(by)), F.col("_chunk").alias("_key")).agg(what.alias("_value"))
+    carried = one.withColumn("_carry", over.over(window)).drop("_value")
+    on = F.col("_chunk") == F.col("_key")
+    for k, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    return chunked.join(carried, on).drop("_key", *(f"_by{k}" for k in range(len(by))))
 
 
 def fill_last_seen(df: DataFrame, column: str = TIME, by: tuple[str, ...] = ("file_name",)) -> DataFrame:
     """Nulls get the last value seen in their file."""
-    w = Window.partitionBy(*by).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(column, True).over(w))
+    value = F.max_by(column, F.when(F.col(column).isNotNull(), F.col(ROW)))
+    carried = _with_carry(df, by, value, F.last("_value", True), (Window.unboundedPreceding, -1))
+    w = Window.partitionBy(*by, "_chunk").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    return carried.withColumn(column, F.coalesce(F.last(column, True).over(w), F.col("_carry"))).select(*df.columns)
 
 
 def fill_next(df: DataFrame, column: str = TIME, by: tuple[str, ...] = ("file_name",)) -> DataFrame:
     """Nulls get the next value of their file."""
-    w = Window.partitionBy(*by).orderBy(ROW).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(column, F.first(column, True).over(w))
+    value = F.min_by(column, F.when(F.col(column).isNotNull(), F.col(ROW)))
+    carried = _with_carry(df, by, value, F.first("_value", True), (1, Window.unboundedFollowing))
+    w = Window.partitionBy(*by, "_chunk").orderBy(ROW).rowsBetween(0, Window.unboundedFollowing)
+    return carried.withColumn(column, F.coalesce(F.first(column, True).over(w), F.col("_carry"))).select(*df.columns)
 
 
 def merge_lines(df: DataFrame, starts: Column, by: tuple[str, ...] = ("file_name",), column: str = MESSAGE, trace: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,9 +128,9 @@ def merge_lines(df: DataFrame, starts: Column, by: tuple[str, ...] = ("file_name
     following lines go to a column trace (null if there are none), else to the message.
     keep: columns whose value at the event's first line stays.
     """
-    flagged = df.withColumn("_start", F.coalesce(starts, F.lit(False)))
-    group = F.sum(F.col("_start").cast("long")).over(Window.partitionBy(*by).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
-    flagged = flagged.withColumn("_group", group)
+    flagged = _with_carry(df.withColumn("_start", F.coalesce(starts, F.lit(False))), by, F.count_if("_start"), F.sum("_value"), (Window.unboundedPreceding, -1))
+    inside = F.sum(F.col("_start").cast("long")).over(Window.partitionBy(*by, "_chunk").orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0))
+    flagged = flagged.withColumn("_group", F.coalesce("_carry", F.lit(0)) + inside)
     join = lambda rows: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["m"]), "\n")
     line = F.struct(F.col(ROW).alias("r"), F.col(column).alias("m"))
     head = lambda c: F.min_by(c, ROW).alias(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..model import reduce_rows
+from ..model import of_sequences, reduce_rows
 from ..operators import joins
 from ..operators.detect import metrics
 from ..operators.detect.items import OOV_detector, RarityModel, term_counts, tfidf, vocabulary
@@ -200,15 +200,15 @@ def graded_label_ratio(spark, sf):
 @query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def semi_reduce(spark, sf):
     e = table(spark, sf, "events")
-    return e.join(e.where("event_type = 'purchase'").select("user_id"), "user_id", "left_semi").select("event_id", "user_id")
+    return of_sequences(e, e.where("event_type = 'purchase'"), "user_id").select("event_id", "user_id")
 
 
 @query("""WITH u AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),
 s AS (SELECT a.vec_id, b.vec_id AS nearest, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS similarity FROM u a, u b WHERE a.label = 0 AND b.label <> 0)
-SELECT vec_id, round(max(similarity), 6) AS similarity FROM s GROUP BY vec_id""")
+SELECT vec_id, arg_min(nearest, (-similarity, nearest)) AS nearest, round(max(similarity), 6) AS similarity FROM s GROUP BY vec_id""")
 def nearest_normal(spark, sf):
     e = table(spark, sf, "embeddings")
-    return joins.nearest(e.where("label = 0"), e.where("label <> 0"), "vec_id", "embedding").select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return joins.nearest(e.where("label = 0"), e.where("label <> 0"), "vec_id", "embedding").select("vec_id", "nearest", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {EVENTS} SELECT e.seq_id, e.row_id, t.trace_row_id FROM events_log e JOIN (SELECT seq_id, row_id AS trace_row_id FROM events_log WHERE anomaly) t USING (seq_id)")
@@ -218,7 +218,11 @@ def logs_and_traces(spark, sf):
     return joins.merge_logs_and_traces(logs, traces, "_trace")
 
 
-@query()
+@query(f"WITH {EVENTS}, n AS (SELECT CAST(floor(0.25 * count(DISTINCT seq_id)) AS BIGINT) AS n FROM events_log) SELECT n AS sequences, n AS of_the_log, CAST(0 AS BIGINT) AS cut_short FROM n")
 def reduced_sequences(spark, sf):
+    """How many sequences a seeded sample has, how many of them are the log's, and how many have lost events."""
     log = log_events(spark, sf)
-    return reduce_rows(log, log.select("seq_id").distinct(), 0.25)[1]
+    kept, sequences = reduce_rows(log, log.select("seq_id").distinct(), 0.25)
+    whole = log.groupBy("seq_id").agg(F.count("*").alias("n"))
+    both = sequences.distinct().join(whole, "seq_id", "left").join(kept.groupBy("seq_id").agg(F.count("*").alias("k")), "seq_id", "left")
+    return both.agg(F.count("*").alias("sequences"), F.count("n").alias("of_the_log"), F.count_if(~F.col("n").eqNullSafe(F.col("k"))).alias("cut_short"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import model
@@ -32,21 +34,22 @@ EVENTS = """events_log AS (SELECT event_id AS row_id, 'user ' || user_id || ' '
  ts AS m_timestamp, CAST(user_id AS VARCHAR) AS seq_id, event_type = 'error' AS anomaly, event_type FROM events)"""
 DOCUMENTS = """documents_log AS (SELECT d.doc_id AS row_id, d.text AS m_message, d.source AS seq_id, l.toxic = 1 AS anomaly, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
-_EDGE = "([^A-Za-z0-9]|^)", "([^A-Za-z0-9]|$)"
-_SQL_MASKS = (
-    (r"\1<ID>\4", _EDGE[0] + r"(([0-9a-f]{2,}:){3,}[0-9a-f]{2,})" + _EDGE[1]),
-    (r"\1<IP>\3", _EDGE[0] + r"(\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3})" + _EDGE[1]),
-    (r"\1<SEQ>\3", _EDGE[0] + r"([0-9a-f]{6,} ?){3,}" + _EDGE[1]),
-    (r"\1<SEQ>\3", _EDGE[0] + r"([0-9A-F]{4} ?){4,}" + _EDGE[1]),
-    (r"\1<HEX>\3", _EDGE[0] + r"(0x[a-f0-9A-F]+)" + _EDGE[1]),
-    (r"\1<NUM>\3", _EDGE[0] + r"([-+]?\p{Nd}+)" + _EDGE[1]),
-    (r"\1<CMD>", r'(executed cmd )(".+?")'),
-)
+def _sql_masks():
+    """The library's masks in the SQL engine's syntax: groups by number, and the text's end as $."""
+    for replacement, pattern in text.MASKS:
+        names = re.findall(r"\(\?<([a-z]+)>", pattern)
+        numbers = {}
+        for k, opened in enumerate(re.finditer(r"(?<!\\)\((?:\?<([a-z]+)>)?", pattern)):
+            if opened[1]:
+                numbers[opened[1]] = k + 1
+        for name in names:
+            replacement = replacement.replace(f"${{{name}}}", f"\\{numbers[name]}")
+        yield replacement, re.sub(r"\?<[a-z]+>", "", pattern).replace(r"\z", "$")
 
 
 def sql_mask(column: str) -> str:
     out = f"split_part({column}, chr(10), 1)"
-    for to, pattern in _SQL_MASKS:
+    for to, pattern in _sql_masks():
         for _ in range(2):
             out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
     return out
@@ -78,9 +81,11 @@ def alphanumerics(spark, sf):
     return EventLogEnhancer(log_documents(spark, sf)).alphanumerics().select("row_id", "e_alphanumerics_len", F.array_join("e_alphanumerics", "|").alias("e_alphanumerics"))
 
 
-@query(r"SELECT doc_id AS row_id, CAST(len(regexp_extract_all(text, '[^\n]{3}')) + len(regexp_extract_all(text[2:], '[^\n]{3}')) + len(regexp_extract_all(text[3:], '[^\n]{3}')) AS INTEGER) AS e_trigrams_len FROM documents")
+@query(r"""WITH t AS (SELECT doc_id AS row_id, list_concat(list_concat(regexp_extract_all(text, '[^\n]{3}'), regexp_extract_all(text[2:], '[^\n]{3}')), regexp_extract_all(text[3:], '[^\n]{3}')) AS g FROM documents)
+SELECT row_id, CAST(len(g) AS INTEGER) AS e_trigrams_len, md5(array_to_string(list_sort(g), '|')) AS bag FROM t""")
 def trigram_bag(spark, sf):
-    return EventLogEnhancer(log_documents(spark, sf)).trigrams().select("row_id", "e_trigrams_len")
+    bags = EventLogEnhancer(log_documents(spark, sf)).trigrams()
+    return bags.select("row_id", "e_trigrams_len", F.md5(F.array_join(F.array_sort("e_trigrams"), "|")).alias("bag"))
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT substr(m_message, CAST(i AS BIGINT), 3) AS gram FROM events_log, unnest(range(1, greatest(length(m_message) - 1, 1))) AS r(i))
@@ -118,11 +123,12 @@ def anomaly_inversion(spark, sf):
     return model.with_anomaly(labelled(log_documents(spark, sf).select("row_id"), spark, sf)).select("row_id", "anomaly", "normal")
 
 
-@query()
+@query("SELECT CAST(floor(0.3 * count(*)) AS BIGINT) AS n, CAST(floor(0.3 * count(*)) AS BIGINT) AS of_the_log FROM events")
 def reduced_events(spark, sf):
-    """A seeded sample; the rows depend on Spark's hash."""
-    df, _ = model.reduce_rows(log_events(spark, sf), log_events(spark, sf).select("seq_id").distinct(), 0.3)
-    return df.select("row_id", "seq_id")
+    """How many events a seeded sample has and how many different ones of the log; which depends on Spark's hash."""
+    log = log_events(spark, sf)
+    df, _ = model.reduce_rows(log, None, 0.3)
+    return df.select("row_id").join(log.select("row_id"), "row_id", "left_semi").agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("of_the_log"))
 
 
 @query(f"""WITH {EVENTS} SELECT seq_id, min(m_timestamp) AS start_time, max(m_timestamp) AS end_time, count(*) AS seq_len, count(*) AS e_event_id_len,
@@ -195,7 +201,7 @@ def item_cumsum_desc(spark, sf):
 SELECT row_id, seq_id, event_type FROM f WHERE r = 1""")
 def first_distinct(spark, sf):
     df = log_events(spark, sf).withColumn("pair", F.struct("seq_id", "event_type"))
-    return df.withColumn("first", windows.first_seen(df, "pair", 0)).where("first").select("row_id", "seq_id", "event_type")
+    return windows.mark_first(df, "pair", 0).where("_first").select("row_id", "seq_id", "event_type")
 
 
 GAPS = f"WITH {EVENTS}, g AS (SELECT row_id, seq_id, CASE WHEN row_id % 3 = 0 THEN m_timestamp END AS t FROM events_log)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detection, enrichment, loading, templates
+from . import detection, enrichment, loading, models, templates
 
-QUERIES = {**enrichment.QUERIES, **detection.QUERIES, **templates.QUERIES, **loading.QUERIES}
-ORACLES = {**enrichment.ORACLES, **detection.ORACLES, **templates.ORACLES, **loading.ORACLES}
+QUERIES = {**enrichment.QUERIES, **detection.QUERIES, **templates.QUERIES, **loading.QUERIES, **models.QUERIES}
+ORACLES = {**enrichment.ORACLES, **detection.ORACLES, **templates.ORACLES, **loading.ORACLES, **models.ORACLES}

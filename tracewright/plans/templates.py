@@ -87,14 +87,42 @@ def iplom_step2_columns(spark, sf):
     return bijection.step2(bijection.step1(texts.withColumn("tokens", F.split("text", " ")))).select("text", "key2")
 
 
-@query()
+IPLOM = LINES + r"""
+, d AS (SELECT text, min(row_id) AS first, count(*) AS n, {tokens} AS w FROM m WHERE text IS NOT NULL GROUP BY text),
+a AS (SELECT *, len(w) AS size FROM d WHERE len(w) > 0),
+x AS (SELECT size, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM a),
+f AS (SELECT size, pos AS spot FROM (SELECT size, pos, count(DISTINCT word) AS words FROM x GROUP BY size, pos) QUALIFY row_number() OVER (PARTITION BY size ORDER BY words, pos) = 1 AND words > 1),
+b AS (SELECT a.*, CASE WHEN spot IS NOT NULL THEN w[spot] END AS key2 FROM a LEFT JOIN f USING (size)),
+y AS (SELECT size, key2, pos, count(DISTINCT word) AS words FROM (SELECT size, key2, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM b) GROUP BY size, key2, pos),
+r AS (SELECT *, row_number() OVER (PARTITION BY size, key2 ORDER BY words = 1, same DESC, words, pos) AS r FROM (SELECT *, count(*) OVER (PARTITION BY size, key2, words) AS same FROM y)),
+g AS (SELECT size, key2, count(*) FILTER (WHERE words = 1) / count(*) AS good, max(pos) FILTER (WHERE r = 1 AND words > 1) AS q1, max(pos) FILTER (WHERE r = 2 AND words > 1) AS q2 FROM r GROUP BY size, key2),
+p AS (SELECT size, key2, least(q1, q2) AS p1, greatest(q1, q2) AS p2 FROM g WHERE good <= 0.35 AND q1 IS NOT NULL AND q2 IS NOT NULL),
+j AS (SELECT b.*, p1, w[p1] AS v1, w[p2] AS v2 FROM b LEFT JOIN p ON b.size = p.size AND b.key2 IS NOT DISTINCT FROM p.key2),
+o AS (SELECT size, key2, v1, v2, sum(n) AS n FROM j WHERE p1 IS NOT NULL GROUP BY ALL),
+s1 AS (SELECT size, key2, v1, count(*) AS m1, sum(n) AS n1 FROM o GROUP BY ALL), s2 AS (SELECT size, key2, v2, count(*) AS m2, sum(n) AS n2 FROM o GROUP BY ALL),
+k AS (SELECT j.text, j.w, j.size, j.key2, CASE WHEN m1 > 1 AND m2 > 1 THEN NULL WHEN m1 > 1 THEN CASE WHEN m1 / n1 < 0.1 THEN '2:' || j.v2 ELSE '1:' || j.v1 END
+ WHEN m2 > 1 THEN CASE WHEN m2 / n2 < 0.1 THEN '1:' || j.v1 ELSE '2:' || j.v2 END WHEN m1 = 1 THEN '1:' || j.v1 END AS key3
+ FROM j LEFT JOIN s1 ON j.size = s1.size AND j.key2 IS NOT DISTINCT FROM s1.key2 AND j.v1 = s1.v1 LEFT JOIN s2 ON j.size = s2.size AND j.key2 IS NOT DISTINCT FROM s2.key2 AND j.v2 = s2.v2),
+z AS (SELECT size, key2, key3, pos, CASE WHEN min(word) = max(word) THEN min(word) ELSE '<*>' END AS shown FROM (SELECT size, key2, key3, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM k) GROUP BY size, key2, key3, pos),
+t AS (SELECT size, key2, key3, string_agg(shown, ' ' ORDER BY pos) AS template FROM z GROUP BY size, key2, key3),
+u AS (SELECT text, template, k.size, k.key2, k.key3 FROM k JOIN t ON k.size = t.size AND k.key2 IS NOT DISTINCT FROM t.key2 AND k.key3 IS NOT DISTINCT FROM t.key3)
+"""
+IPLOM_BY_MARKS = IPLOM.replace("{tokens}", r"list_filter(regexp_split_to_array(text, '[\s=:,]'), lambda x: x <> '')")
+IPLOM_BY_SPACES = IPLOM.replace("{tokens}", "string_split(text, ' ')")
+
+
+@query(IPLOM_BY_MARKS + "SELECT row_id, template AS e_template_iplom, coalesce(substr(md5(template), 1, 8), 'e_null') AS e_event_iplom_id FROM m LEFT JOIN u USING (text)")
 def iplom_templates(spark, sf):
-    return t.parse_iplom(_lines(spark, sf))
+    return t.parse_iplom(_lines(spark, sf)).select("row_id", "e_template_iplom", "e_event_iplom_id")
 
 
-@query()
+@query(IPLOM_BY_SPACES + """, l AS (SELECT DISTINCT size, key2, key3 FROM u),
+i AS (SELECT *, 'e' || dense_rank() OVER (ORDER BY size) || CASE WHEN key2 IS NOT NULL THEN 'e' || dense_rank() OVER (PARTITION BY size ORDER BY key2) ELSE '' END
+ || CASE WHEN key3 IS NOT NULL THEN 'e' || dense_rank() OVER (PARTITION BY size, key2 ORDER BY key3 NULLS FIRST) ELSE '' END AS id FROM l),
+v AS (SELECT text, template, id FROM u JOIN i ON u.size = i.size AND u.key2 IS NOT DISTINCT FROM i.key2 AND u.key3 IS NOT DISTINCT FROM i.key3)
+SELECT row_id, template AS e_template_pliplom, id AS e_event_pliplom_id FROM m LEFT JOIN v USING (text)""")
 def pliplom_templates(spark, sf):
-    return t.parse_pliplom(_lines(spark, sf))
+    return t.parse_pliplom(_lines(spark, sf)).select("row_id", "e_template_pliplom", "e_event_pliplom_id")
 
 
 @query()

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.ml.util import DefaultParamsReader
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -51,6 +54,38 @@ def latex_table(df: DataFrame) -> str:
     return "\\begin{tabular}{" + "l" * len(df.columns) + "}\n" + body + " \\\\\n\\end{tabular}\n"
 
 
-def save_model(model, path: str) -> None:
-    """A fitted Spark model or pipeline."""
-    model.write().overwrite().save(path)
+def save_model(model, path: str, spark: SparkSession | None = None) -> None:
+    """A fitted Spark model or pipeline, or any fitted detector or vectorizer of this library.
+
+    Of the latter, tables become Parquet, Spark models are saved as such, and the rest is
+    pickled.
+    """
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+        return
+    spark = spark or SparkSession.active()
+    plain, kinds = {}, {}
+    for name, value in vars(model).items():
+        if isinstance(value, DataFrame):
+            value.write.mode("overwrite").parquet(f"{path}/{name}")
+            kinds[name] = "table"
+        elif hasattr(value, "write"):
+            value.write().overwrite().save(f"{path}/{name}")
+            kinds[name] = "model"
+        else:
+            plain[name] = value
+    row = [(bytearray(cloudpickle.dumps((type(model), plain, kinds))),)]
+    spark.createDataFrame(row, "state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+
+def load_model(spark: SparkSession, path: str):
+    """What save_model() wrote; only from where you would run code from."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state")):
+        return DefaultParamsReader.loadParamsInstance(path, spark)
+    kind, plain, kinds = pickle.loads(bytes(spark.read.parquet(f"{path}/state").first()["state"]))
+    model = kind.__new__(kind)
+    vars(model).update(plain)
+    for name, what in kinds.items():
+        vars(model)[name] = spark.read.parquet(f"{path}/{name}") if what == "table" else DefaultParamsReader.loadParamsInstance(f"{path}/{name}", spark)
+    return model

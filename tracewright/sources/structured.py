@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -340,8 +340,7 @@ class NezhaLoader(BaseLoader):
         stamp = "Timestamp"
         time = F.coalesce(F.try_to_timestamp(F.regexp_replace(stamp, r"(\.[0-9]{6})[0-9]*Z$", "$1"), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")))
         df = df.withColumns({MESSAGE: message, TIME: time}).drop("_text")
-        nano = lambda c: F.timestamp_micros((F.col(c).cast("decimal(20,0)") / 1000).cast("long"))
-        trace = self.df_trace.withColumns({TIME: nano("StartTimeUnixNano"), "m_timestamp_end": nano("EndTimeUnixNano")})
+        trace = self.df_trace.withColumns({TIME: epoch_nanos("StartTimeUnixNano"), "m_timestamp_end": epoch_nanos("EndTimeUnixNano")})
         metric = self.df_metric_default.withColumn(TIME, F.try_to_timestamp(F.regexp_replace("Time", r"(\.[0-9]{1,6})[0-9]* \+0000.*$| \+0000.*$", "$1"), F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS]")))
         metric = metric.withColumns({c: F.expr(f"try_cast(`{c}` AS double)") for c in NEZHA_METRICS if c in metric.columns})
         labels = self.df_label.select("inject_pod", F.col(TIME).alias("label_time"), "inject_type")
@@ -353,6 +352,18 @@ class NezhaLoader(BaseLoader):
         self.df_seq, self.df_trace_seq = share(self.df), share(self.df_trace)
 
 
+def epoch_nanos(text: str) -> Column:
+    """The time of nanoseconds as text; those that begin with -6 for 16 are one digit too long."""
+    broken = F.col(text).startswith("-6")
+    whole = F.when(broken, F.concat(F.lit("16"), F.substr(text, F.lit(3), F.char_length(text) - 3))).otherwise(F.col(text))
+    return F.timestamp_micros((whole.cast("decimal(20,0)") / 1000).cast("long"))
+
+
+def epoch_seconds(text: str) -> Column:
+    """The time of seconds as text; those that begin with 18 are meant to begin with 16."""
+    return F.timestamp_seconds(F.regexp_replace(text, "^18", "16").cast("long"))
+
+
 LOADERS = {c.__name__: c for c in (HDFSLoader, BGLLoader, ThuSpiLibLoader, HadoopLoader, ProLoader, NezhaLoader, ADFALoader, AWSCTDLoader, GELFLoader, LO2Loader)}
 
 

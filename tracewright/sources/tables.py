@@ -12,7 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def log_events(spark: SparkSession, folder: str) -> DataFrame:
     """events as one log; a user's events are a sequence and errors are anomalies."""
-    e = table(spark, folder, "events")
+    return as_log(table(spark, folder, "events"))
+
+
+def as_log(e: DataFrame) -> DataFrame:
+    """The log of events, of a table or a stream."""
     message = F.concat(F.lit("user "), "user_id", F.lit(" "), "event_type", F.lit(" id "), "event_id", F.lit(" "), "props")
     return e.select(F.col("event_id").alias("row_id"), message.alias("m_message"), F.col("ts").alias("m_timestamp"), F.col("user_id").cast("string").alias("seq_id"), (F.col("event_type") == "error").alias("anomaly"), "event_type")
 
