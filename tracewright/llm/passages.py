@@ -253,7 +253,7 @@ _GONE = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def _merge(batches):
     """Per document: which of its later units go, as merged spans, and where they stay."""
-    for batch in batches:
+    for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):  # few documents' units as objects at once
         spans, keepers = [], []
         for units in batch.column("units").to_pylist():
             gone = [(u["start"], u["end"], u["keep_doc"]) for u in units if u["kind"] == 0]
