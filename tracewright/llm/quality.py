@@ -64,24 +64,30 @@ def _lines(text: str):
 
 
 def _counts(text: str) -> list[float]:
-    """Counts over a whole text; memory goes with its distinct words and lines."""
-    counts, neighbours, last, kinds = Counter(), 0, None, np.zeros(6, np.int64)
+    """Counts over a whole text; words and lines are told apart by 64-bit hashes, a few bytes for each different one."""
+    hashes, numbers = [], []
+    total = chars = neighbours = odd = plain = 0
+    last, kinds = None, np.zeros(6, np.int64)
     for words in _words(text):
-        counts.update(words)
+        own = Counter(words)
+        hashes.append(np.fromiter(map(hash, own), np.int64, len(own)))
+        numbers.append(np.fromiter(own.values(), np.int64, len(own)))
+        total += len(words)
+        chars += sum(map(len, words))
+        odd += sum(n for w, n in own.items() if _SYMBOL.search(w))
+        plain += sum(n for w, n in own.items() if not _LETTER.search(w))
         if words:
             neighbours += sum(map(str.__eq__, words, words[1:])) + (words[0] == last)
             last = words[-1]
     for at in range(0, len(text), PART):
         kinds += np.bincount(_KIND[np.frombuffer(text[at : at + PART].encode(errors="replace"), np.uint8)], minlength=6)
-    lines, distinct = 0, set()
-    for line in _lines(text):
-        lines += 1
-        distinct.add(hash(line))
-    odd, letter, own = _SYMBOL.search, _LETTER.search, list(counts.items())
+    _, where = np.unique(np.concatenate(hashes), return_inverse=True)
+    often = np.bincount(where, np.concatenate(numbers))
+    lines = np.fromiter(map(hash, _lines(text)), np.int64)
     return [
-        counts.total(), sum(len(w) * n for w, n in own), kinds[1], kinds[2], text.count("!"), kinds[5], text.count("|"), kinds[3],
-        len(counts), neighbours, max(counts.values(), default=0), lines - len(distinct), lines,
-        text.count("."), text.count(","), kinds[4], sum(n for w, n in own if odd(w)), sum(n for w, n in own if not letter(w)), len(text),
+        total, chars, kinds[1], kinds[2], text.count("!"), kinds[5], text.count("|"), kinds[3],
+        len(often), neighbours, often.max(initial=0), len(lines) - len(np.unique(lines)), len(lines),
+        text.count("."), text.count(","), kinds[4], odd, plain, len(text),
     ]
 
 
