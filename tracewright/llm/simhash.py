@@ -145,10 +145,12 @@ def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """The row of least doc_id, then text hash, of each group of near copies; of repeated rows one."""
-    first = near_duplicates(docs).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select(F.col("f.doc_id").alias("_first"), F.col("f.th").alias("_hash"))
-    kept = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("_id"), doc_key(F.col("text")).alias("_th"))
-    # one row for each _id and _th, so no group of copies meets in a task
-    one = kept.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_th") == F.col("_hash")), "left_semi").dropDuplicates(["_id", "_th"])
+    rows = near_duplicates(docs).groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "th", "n")).alias("f")).select(F.col("f.doc_id").alias("_first"), F.col("f.th").alias("_hash"), F.col("f.n").alias("_rows"))
+    docs_ = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("_id"), doc_key(F.col("text")).alias("_th"))
+    kept = docs_.join(first, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_th") == F.col("_hash")))
+    # only the few rows that agree in doc_id and text are shuffled for that
+    one = kept.where("_rows = 1").union(kept.where("_rows > 1").dropDuplicates(["_id", "_th"]))
     return one.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
