@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from tracewright.llm import vectors
@@ -73,3 +74,48 @@ def test_every_link_of_a_hot_group(spark, dims):
     for block in (500, vectors.BLOCK):
         got = {r.vec_id: r.n_links for r in vectors.near_vectors(frame, block=block).collect()}
         assert [got[k] for k in range(len(x))] == want.tolist()
+
+
+def test_probes_are_those_within_the_margin():
+    """Against signed distances to every border, with more lists than k-means has members for."""
+    rng = np.random.default_rng(8)
+    sample = rng.normal(size=(600, 12))
+    sample /= np.linalg.norm(sample, axis=1)[:, None]
+    index = vectors.Index(sample, 300)
+    x = rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:50] = index.centres[:50]
+    d = ((x[:, None] - index.centres) ** 2).sum(2)
+    gap = np.linalg.norm(index.centres[d.argmin(1)][:, None] - index.centres, axis=2)
+    want = d - d.min(1)[:, None] <= 2 * vectors.MARGIN * gap + 1e-9
+    home, rows, lists = index.probes(x, vectors.MARGIN)
+    got = np.zeros(want.shape, bool)
+    got[rows, lists] = True
+    assert (home == d.argmin(1)).all() and not (want & ~got).any() and (got & ~want).sum() <= 2
+    assert want.sum() < 0.9 * want.size
+
+
+@pytest.mark.parametrize("spread", [1, 4, 16])
+def test_large_group_of_few_dimensions(spark, spread):
+    """A third of all vectors is one group that k-means cuts up; every link is found at the default margin."""
+    rng = np.random.default_rng(spread)
+    base = rng.normal(size=(900, 64))
+    hot = np.zeros((450, 64))
+    hot[:, 0] = 1
+    hot[:, 1 : 1 + spread] = rng.normal(size=(450, spread)) * 0.35 / math.sqrt(spread)
+    x = np.concatenate([base, hot])
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (y @ y.T >= 0.95).sum() - len(y)
+    frame = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = sum(r.n_links for r in vectors.near_vectors(frame).collect())
+    assert want > 1000 and abs(got - want) <= 2
+
+
+def test_query_is_its_sql(spark, tmp_path):
+    rows = clusters(5) + [(900, None), (901, [0.0] * 16), (902, [1.0, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({vectors.OP8_SQL})").fetchall())
+    assert sorted(map(tuple, vectors.op8_embedding_near_dedup(spark, str(tmp_path)).collect())) == want
+    assert sum(n for _, n, *_ in want) > 20

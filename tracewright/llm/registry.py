@@ -16,4 +16,4 @@ QUERIES = {f.__name__: f for f in (
     packing.op9_packing,
     language.op10_language_id,
 )}
-ORACLES: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op3_benchmark_decontamination": decontaminate.OP3_SQL}
+ORACLES: dict[str, str] = {"op2_line_dedup": lines.OP2_SQL, "op3_benchmark_decontamination": decontaminate.OP3_SQL, "op8_embedding_near_dedup": vectors.OP8_SQL}

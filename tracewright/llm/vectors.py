@@ -1,8 +1,11 @@
 """Embedding near-dedup by product quantisation.
 
 Vectors of equal components are one class. A sample of at most SAMPLE classes, by hash,
-gives the centres of the coarse lists (about the square root of the number of classes,
-LISTS at most) and the codebooks of the residuals' subspaces; every class is indexed:
+and of VALUES components (so fewer classes beyond 512 dimensions), gives the centres of the coarse lists, as many as the square root of the number of classes
+(up to SAMPLE lists, so of a thousand million classes), and the codebooks of the
+residuals' subspaces. Centres come from k-means where the sample has MEMBERS vectors for
+each, and else are vectors of the sample themselves; which links are found doesn't depend
+on it. Every class is indexed:
 in the list of its nearest centre, as the codes of its residual, with the length of what
 the codes leave out. A class also looks into each list whose border lies within MARGIN
 = R / 2 of it: a link is at most R long and crosses the border of its ends' lists, so the
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from ..scratch import save
 from .shared import components, received, ship
 
-COSINE, SAMPLE, LISTS, BLOCK, PARTS, CODES = 0.95, 16_384, 4096, 8192, 8, 256
+COSINE, SAMPLE, VALUES, MEMBERS, BLOCK, PARTS, CODES = 0.95, 32_768, 1 << 24, 16, 8192, 8, 256
 R = math.sqrt(2 - 2 * COSINE)
 MARGIN = R / 2
 
@@ -74,7 +77,7 @@ class Index:
     """Coarse centres, their groups and the codebooks of the residuals' parts."""
 
     def __init__(self, sample: np.ndarray, lists: int, groups: int = 1):
-        self.centres = k_means(sample, lists)
+        self.centres = k_means(sample, lists, 8 if len(sample) >= MEMBERS * lists else 0)
         home = _nearest(sample, self.centres)
         self.group = grouped(self.centres, np.bincount(home, minlength=len(self.centres)), groups)
         residual = sample - self.centres[home]
@@ -87,14 +90,25 @@ class Index:
         left = np.sqrt(sum(((residual[:, p] - book[codes[:, k]]) ** 2).sum(1) for k, (p, book) in enumerate(zip(self.parts, self.books, strict=True))))
         return codes.astype(np.uint8), left
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """The home list of each row, and for each row and list whether it's home or its border is within margin."""
+    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home list of each row, and (row, list) of those that are home or whose border is within margin.
+
+        A border is at least half as far away as the other centre is farther than home, so
+        distances between centres are worked out for few pairs only.
+        """
         c = self.centres
         size = (c**2).sum(1)
         score = x @ c.T - size / 2
         home = score.argmax(1)
-        gap = np.sqrt(np.maximum(size[home][:, None] + size - 2 * (c[home] @ c.T), 0))
-        return home, score[np.arange(len(x)), home][:, None] - score <= margin * gap + 1e-7  # rounding must lose none
+        best, whole = score[np.arange(len(x)), home], (x**2).sum(1)
+        reach = np.sqrt(np.maximum(whole - 2 * best, 0)) + 2 * margin + 1e-6
+        rows, lists = np.nonzero(score >= (whole - reach**2)[:, None] / 2 - 1e-7)
+        near = np.empty(len(rows), bool)
+        for at in range(0, len(rows), 65_536):
+            i, j = rows[at : at + 65_536], lists[at : at + 65_536]
+            gap = np.sqrt(((c[home[i]] - c[j]) ** 2).sum(1))
+            near[at : at + 65_536] = best[i] - score[i, j] <= margin * gap + 1e-7  # rounding must lose none
+        return home, rows[near], lists[near]
 
 
 def _matrix(column) -> np.ndarray:
@@ -134,13 +148,14 @@ def _assign(shared, margin: float):
 
     def run(batches):
         index = received(shared)
-        order = np.argsort(index.group, kind="stable")
+        place = np.argsort(np.argsort(index.group, kind="stable"))
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                home, near = index.probes(_unit(_matrix(part.column("v"))), margin)
-                rows, lists = np.nonzero(near[:, order])
-                lists = order[lists].astype(np.int32)
+            step = max(16, min(1024, (4 << 20) // len(index.centres)))  # scores of about 32 MB at once
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                home, rows, lists = index.probes(_unit(_matrix(part.column("v"))), margin)
+                by_group = np.lexsort((place[lists], rows))
+                rows, lists = rows[by_group], lists[by_group].astype(np.int32)
                 group = index.group[lists]
                 first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (group[1:] != group[:-1])))
                 inner = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), pa.array(lists))
@@ -220,9 +235,9 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, margin: float | None =
     parts = []
     for dimension, count in classes.groupBy(F.size("v")).count().collect():
         own = classes.where(F.size("v") == dimension)
-        sample = _unit(np.array([r[0] for r in own.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("v").collect()]))
+        sample = _unit(_matrix(own.orderBy(F.xxhash64("cid"), "cid").limit(max(1, min(SAMPLE, VALUES // dimension))).select("v").toArrow().column("v")))
         rows_of_block = max(1, block * 64 // max(64, dimension))
-        index = ship(spark, Index(sample, min(LISTS, max(1, math.isqrt(count))), -(-count // rows_of_block)))
+        index = ship(spark, Index(sample, min(len(sample), max(1, math.isqrt(count))), -(-count // rows_of_block)))
         listed = save(own.select("cid", "n", "v").mapInArrow(_assign(index, margin), _LISTED + kind), "vector-lists")
         spread = listed.select("*", F.explode("visits").alias("visit")).select("home", "cid", "n", "v", "visit.grp", "visit.lists", (F.col("visit.grp") == F.col("own")).alias("member"))
         blocks = [F.ceil(F.count_if(c) / F.lit(size)).cast("int") for c, size in ((F.col("member"), rows_of_block), (~F.col("member"), 4 * rows_of_block))]
@@ -251,3 +266,20 @@ def op8_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of embeddings with its links and component."""
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: The same rows by every pair; components by walking along the links.
+OP8_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, CASE WHEN n > 0 AND isfinite(n) THEN list_transform(e, lambda x: x / sqrt(n)) END AS v
+  FROM (SELECT vec_id, e, list_sum(list_transform(e, lambda x: x * x)) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a, u b
+  WHERE a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM u UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+), least AS (
+  SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM least
+"""
