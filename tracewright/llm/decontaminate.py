@@ -10,8 +10,8 @@ occur follows from suffix positions sampled at every SAMPLE-th word. Words are c
 as 64-bit hashes first, and what an occurrence covers is compared letter by letter then.
 
 The phrases come to the driver and to the tasks in blocks of at most BLOCK_WORDS words,
-with a pass over the texts for each, so their number is not bounded. The texts are never
-shuffled. Null and empty texts have no words, no hits and stay as they are; an item with
+with a pass over the texts for each, so their number is not bounded; after every CHAIN
+passes the texts are saved with what was found. The texts are never shuffled. Null and empty texts have no words, no hits and stay as they are; an item with
 a null id is searched and its words are hits, but it isn't listed. An empty table gives
 an empty result; repeated rows are alike.
 """
@@ -25,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import save
 from .shared import received, ship, take_batches
 
-WINDOW, SHARD_BYTES, SAMPLE, BLOCK_WORDS = 10, 8 << 20, 8, 1 << 20
+WINDOW, SHARD_BYTES, SAMPLE, BLOCK_WORDS, CHAIN = 10, 8 << 20, 8, 1 << 20, 2
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _IS_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -86,6 +87,7 @@ class Phrases:
                 break
             self.base += 2  # two words of the vocabulary must not share a hash
         self.hashes, self.numbers = hashes[order], order + 1
+        self.letters, self.begins, self.sizes = joined, ends - sizes, sizes
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(hashes >> np.uint64(48)).astype(np.int64)] = True
 
@@ -97,6 +99,16 @@ class Phrases:
         out[at] = np.where(self.hashes[place] == hashes[at], self.numbers[place], 0)
         return out
 
+    def same(self, numbers: np.ndarray, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each word lower[start:end] has the letters of the word with its number."""
+        out = self.sizes[numbers - 1] == ends - starts
+        at, sizes = np.flatnonzero(out), (ends - starts)[out]
+        if len(at):
+            inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            equal = lower[np.repeat(starts[at], sizes) + inside] == self.letters[np.repeat(self.begins[numbers[at] - 1], sizes) + inside]
+            out[at] = np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)
+        return out
+
 
 class FMIndex:
     """Backward search and location in a sequence of numbers; 0 separates."""
@@ -193,39 +205,48 @@ def scan_shard(column: pa.Array, phrases: Phrases) -> list[tuple[int, list[list[
     inside = np.ones(len(place), bool)
     inside[np.cumsum(sizes) - 1] = False
     kept[inside] = symbols[place[inside]]
-    index = FMIndex(kept)
-    hits = []
-    for n, rows, owners in phrases.groups:
+    index, firsts, sizes, whose, base = FMIndex(kept), [], [], [], 0
+    for n, rows, _ in phrases.groups:
         which, at = index.search(rows)
-        hits += [(int(place[p]), n, owners[w]) for w, p in zip(which.tolist(), at.tolist(), strict=True)]
-    hits.sort(key=lambda h: h[:2])
-    same: dict[int, bool] = {}
-
-    def equal(k: int) -> bool:
-        if k not in same:
-            same[k] = lower[starts[k] : ends[k]].tobytes() == phrases.vocabulary[symbols[k] - 1]
-        return same[k]
-
-    items: dict[int, set[int]] = {}
-    for first, n, owners in hits:
-        if not all(equal(k) for k in range(first, first + n)):
-            continue
-        k = int(doc[first])
-        items.setdefault(k, set()).update(owners)
-        spans = out[k][1]
-        if spans and first <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], first + n)
-        else:
-            spans.append([first, first + n])
+        firsts.append(place[at])
+        sizes.append(np.full(len(at), n, np.int64))
+        whose.append(which + base)
+        base += len(rows)
+    first, size, phrase = np.concatenate(firsts), np.concatenate(sizes), np.concatenate(whose)
+    # the words of all occurrences, letter by letter
+    at = np.flatnonzero(_covered(first, size, len(starts)))
+    wrong = np.zeros(len(starts) + 1, np.int64)
+    wrong[at + 1] = ~phrases.same(symbols[at], lower, starts[at], ends[at])
+    wrong = np.cumsum(wrong)
+    true = wrong[first + size] == wrong[first]
+    first, size, phrase = first[true], size[true], phrase[true]
+    at = np.flatnonzero(_covered(first, size, len(starts)))
     begins = np.searchsorted(doc, np.arange(len(column)))
-    lead = (data & 0xC0) != 0x80
-    for k, own in items.items():
-        chars = np.append(0, np.cumsum(lead[offsets[k] : offsets[k + 1]]))
-        spans = [[a - int(begins[k]), b - int(begins[k]), int(chars[starts[a] - offsets[k]]), int(chars[ends[b - 1] - offsets[k]])] for a, b in out[k][1]]
-        out[k] = (out[k][0], spans, sorted({phrases.items[i] for i in own} - {None}))
+    lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    opens = at[np.append(True, (np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]]))] if len(at) else at
+    closes = at[np.append((np.diff(at) > 1) | (doc[at[1:]] != doc[at[:-1]]), True)] + 1 if len(at) else at
+    own = doc[opens]
+    chars = [lead[x] - lead[offsets[own]] for x in (starts[opens], ends[closes - 1])]
+    for k, *span in zip(own.tolist(), (opens - begins[own]).tolist(), (closes - begins[own]).tolist(), *(c.tolist() for c in chars), strict=True):
+        out[k][1].append(span)
+    # the different phrases of each text
+    items: dict[int, set[str]] = {}
+    owners = [o for _, _, group in phrases.groups for o in group]
+    for k, p in np.unique(np.column_stack([doc[first], phrase]), axis=0).tolist():
+        items.setdefault(k, set()).update(phrases.items[i] for i in owners[p])
+    for k, own_items in items.items():
+        out[k] = (out[k][0], out[k][1], sorted(own_items - {None}))
     return out
 
 
+def _covered(first: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in one of the runs."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, first, 1)
+    np.add.at(edges, first + size, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def merge(spans: list[list[int]]) -> list[list[int]]:
     """Spans whose words overlap or touch become one."""
     out: list[list[int]] = []
@@ -280,6 +301,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     schema = base + ", _n long, _spans array<struct<first: long, last: long, start: long, end: long>>, _items array<string>"
     passes = 0
     for phrases in _blocks(benchmark, window, block_words):
+        if passes and not passes % CHAIN:  # a task holds the phrases of CHAIN passes at most
+            now = save(now, "scanned")
         now, passes = now.mapInArrow(_pass(ship(docs.sparkSession, phrases), passes), schema), passes + 1
     return now if passes else now.mapInArrow(_pass(None, 0), schema)
 
