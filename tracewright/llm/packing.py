@@ -18,6 +18,7 @@ import re
 import sys
 import types
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -163,19 +164,27 @@ def pack(docs: DataFrame, most: int = 1024, files: tuple[str, str] | None = None
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     pieces = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(vocabulary, ranks, most, with_ids), schema), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    packs = plan(counts, most)
+    width = Counter()  # of a length's places, about: so many ranks make a bucket
+    for pattern, _ in packs:
+        width.update(pattern)
+    width = {length: max(1, counts[length] // n) for length, n in width.items()}
     places, filled, first = [], {}, 0
-    for pattern, count in plan(counts, most):
+    for pattern, count in packs:
         at = 0
         for length in pattern:
             low = filled.get(length, 0)
             filled[length] = low + count
-            places.append((length, low, low + count, first - low, at))
+            places += [(length, b, low, low + count, first - low, at) for b in range(low // width[length], (low + count - 1) // width[length] + 1)]
             at += length
         first += count
-    table = docs.sparkSession.createDataFrame(places, "length long, low long, high long, shift long, offset long")
+    table = docs.sparkSession.createDataFrame(places, "length long, bucket long, low long, high long, shift long, offset long")
     ranked = number_rows(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "rank")
-    # places follow from the counts alone: a few for each of at most `most` lengths
-    joined = ranked.join(F.broadcast(table) if len(places) < 100_000 else table, "length").where("rank >= low AND rank < high")
+    # places follow from the counts alone: a few for each of at most `most` lengths. A place lies
+    # in the buckets of its ranks, three for each on average at most, so a piece meets few others
+    widths = docs.sparkSession.createDataFrame(list(width.items()), "length long, width long")
+    bucketed = ranked.join(F.broadcast(widths), "length").withColumn("bucket", F.floor(F.col("rank") / F.col("width")))
+    joined = bucketed.join(F.broadcast(table) if len(places) < 100_000 else table, ["length", "bucket"]).where("rank >= low AND rank < high")
     return joined.select(*schema.replace(",", "").split()[::2], (F.col("shift") + F.col("rank")).alias("sequence_id"), "offset")
 
 
