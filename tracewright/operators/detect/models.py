@@ -9,10 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...model import ROW
+from ...scratch import save
+from ..neighbours import BLOCK, neighbours
 
 
 def _sample(df: DataFrame, most: int, seed: int) -> np.ndarray:
@@ -148,27 +150,22 @@ def _scored(df: DataFrame, score, anomalous) -> DataFrame:
 class LocalOutlierFactor:
     """How much thinner a row's surroundings are than its neighbours', with k neighbours among the training rows.
 
-    Training rows meet the others block by block. A factor over 1.5 is an anomaly.
+    Rows meet the training rows block by block, see operators.neighbours. A factor over
+    1.5 is an anomaly.
     """
 
-    def __init__(self, n_neighbors: int = 20, blocks: int = 16, limit: float = 1.5):
-        self.k, self.blocks, self.limit = n_neighbors, blocks, limit
+    def __init__(self, n_neighbors: int = 20, block: int = BLOCK, limit: float = 1.5):
+        self.k, self.block, self.limit = n_neighbors, block, limit
 
-    def _neighbours(self, rows: DataFrame, among: DataFrame, same: bool) -> DataFrame:
+    def _neighbours(self, rows: DataFrame, same: bool) -> DataFrame:
         """(key, other, d) of the k nearest training rows of each row."""
-        a = rows.select(F.col(ROW).alias("key"), vector_to_array("features").alias("x")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1))))
-        b = among.select(F.col(ROW).alias("other"), vector_to_array("features").alias("y")).withColumn("block", F.pmod(F.xxhash64("other"), F.lit(self.blocks)).cast("int"))
-        joined = a.join(b, "block")
-        if same:
-            joined = joined.where("key <> other")
-        d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-        near = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("d", "other")) <= self.k
-        inside = joined.select("key", "other", "block", d.alias("d")).withColumn("in", near(["key", "block"])).where("in")
-        return inside.withColumn("in", near(["key"])).where("in").select("key", "other", "d")
+        as_arrays = lambda df: df.select(F.col(ROW).alias("id"), vector_to_array("features").alias("v"))
+        found = neighbours(as_arrays(rows), as_arrays(self.train), self.k, False, same, self.block)
+        return save(found.select(F.col("q").alias("key"), F.col("r").alias("other"), "d"), "neighbours")
 
     def fit(self, df: DataFrame) -> LocalOutlierFactor:
         self.train = df.select(ROW, "features")
-        near = self._neighbours(self.train, self.train, True)
+        near = self._neighbours(self.train, True)
         self.reach = near.groupBy("key").agg(F.max("d").alias("reach")).withColumnRenamed("key", "other")
         self.density = self._density(near).withColumnsRenamed({"key": "other", "density": "other_density"})
         return self
@@ -178,7 +175,7 @@ class LocalOutlierFactor:
         return far.select("key", (1 / (F.col("m") + 1e-10)).alias("density"))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        near = self._neighbours(df, self.train, False)
+        near = self._neighbours(df, False)
         ratio = near.join(self.density, "other").join(self._density(near), "key").groupBy("key").agg((F.avg("other_density") / F.max("density")).alias("score"))
         out = df.join(ratio.withColumnRenamed("key", ROW), ROW, "left").withColumn("score", F.coalesce("score", F.lit(1.0)))
         return out.withColumn("pred_ano", (F.col("score") > self.limit).cast("int"))

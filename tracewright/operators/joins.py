@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import micros
+from .neighbours import BLOCK, neighbours
 
 MINUTE = 60_000_000
 
@@ -52,18 +53,8 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, blocks: int = 16) -> DataFrame:
-    """(key, nearest, similarity): the row of largest cosine for each query, the least key of equal ones.
-
-    The queries are dealt into blocks and each row meets each block once, so neither side
-    is broadcast; partial aggregation keeps one candidate per query and task.
-    """
-    q = queries.select(F.col(key).alias("q"), unit(F.col(vector)).alias("qv")).where("qv IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    r = rows.select(F.col(key).alias("r"), unit(F.col(vector)).alias("rv")).where("rv IS NOT NULL").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    best = F.min(F.struct((-F.col("s")).alias("s"), "r")).alias("best")
-    scored = q.join(r, "block").select("q", "r", cosine(F.col("qv"), F.col("rv")).alias("s"))
-    return scored.groupBy("q").agg(best).select(F.col("q").alias(key), F.col("best.r").alias("nearest"), (-F.col("best.s")).alias("similarity"))
+def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(key, nearest, similarity): the row of largest cosine for each query, the least key of equal ones."""
+    units = lambda df: df.select(F.col(key).cast("long").alias("id"), unit(F.col(vector)).alias("v")).where("v IS NOT NULL")
+    found = neighbours(units(queries), units(rows), 1, True, block=block)
+    return found.select(F.col("q").alias(key), F.col("r").alias("nearest"), (-F.col("d")).alias("similarity"))

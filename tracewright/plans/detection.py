@@ -160,9 +160,11 @@ def language_distances(spark, sf):
     return _languages(spark, sf).measures().select(*(F.round(c, 6).alias(c) for c in ("cosine", "jaccard", "containment")))
 
 
-@query()
+@query(DISTANCE.replace(" FROM c", ", true AS compression_in_range, (SELECT count(*) FROM documents WHERE lang = 'en') AS rows_train, (SELECT count(*) FROM documents WHERE lang = 'fr') AS rows_analyze FROM c"))
 def all_distances(spark, sf):
-    return _languages(spark, sf).measure_all_distances()
+    """All measures of two logs; the compressed one, which SQL can't have, only by its range."""
+    rounded = [F.round(c, 6).alias(c) for c in ("cosine", "jaccard", "containment")]
+    return _languages(spark, sf).measure_all_distances().select(*rounded, F.col("compression").between(0.3, 1.05).alias("compression_in_range"), "rows_train", "rows_analyze")
 
 
 @query("""SELECT text AS line, count(*) FILTER (WHERE lang = 'en') AS a, count(*) FILTER (WHERE lang <> 'en') AS b FROM documents GROUP BY text
@@ -172,10 +174,16 @@ def line_diff_counts(spark, sf):
     return LogDistance(d.where("lang = 'en'"), d.where("lang <> 'en'")).diff_counts()
 
 
-@query()
+@query("""SELECT md5(string_agg(text, chr(10) ORDER BY doc_id) FILTER (WHERE lang = 'es')) AS one, md5(string_agg(text, chr(10) ORDER BY doc_id) FILTER (WHERE lang = 'de')) AS other,
+ CAST(sum(len(string_split(text, chr(10)))) FILTER (WHERE lang = 'es') AS BIGINT) AS one_lines, CAST(sum(len(string_split(text, chr(10)))) FILTER (WHERE lang = 'de') AS BIGINT) AS other_lines FROM documents WHERE text IS NOT NULL""")
 def line_diff(spark, sf):
+    """Both logs as they are put together again from their line difference."""
     d = log_documents(spark, sf)
-    return LogDistance(d.where("lang = 'es'"), d.where("lang = 'de'")).diff_lines()
+    diff = LogDistance(d.where("lang = 'es'"), d.where("lang = 'de'")).diff_lines()
+    lines = lambda op: F.array_sort(F.collect_list(F.when(F.col("op").isin(" ", op), F.struct("pos", "line"))))
+    both = diff.agg(lines("-").alias("a"), lines("+").alias("b"))
+    text_of = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x["line"]), "\n"))
+    return both.select(text_of("a").alias("one"), text_of("b").alias("other"), F.size("a").cast("long").alias("one_lines"), F.size("b").cast("long").alias("other_lines"))
 
 
 @query("""WITH l AS (SELECT user_id, ts FROM events WHERE event_type = 'error')

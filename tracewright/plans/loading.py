@@ -153,6 +153,12 @@ def sink_lines(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query(r"""SELECT '\begin{tabular}{ll}' || chr(10) || 'r\_regionkey & r\_name \\' || chr(10) || string_agg(r_regionkey || ' & ' || replace(r_name, '_', '\_'), ' \\' || chr(10) ORDER BY r_regionkey) || ' \\' || chr(10) || '\end{tabular}' || chr(10) AS latex FROM region""")
+def sink_latex(spark, sf):
+    small = table(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
+    return spark.createDataFrame([(sinks.latex_table(small),)], "latex string")
+
+
 def _hdfs(spark, sf):
     line = _text(_stamp("yyMMdd"), " ", _stamp("HHmmss"), " ", F.col("row_id").cast("string"), " INFO dfs.", F.col("event_type"), ": got blk_-", F.col("seq_id"), " ", F.col("m_message"))
     path = _files(spark, sf, F.lit("hdfs.log"), line)

@@ -148,6 +148,28 @@ def shapley_values(spark, sf):
     return out
 
 
+@query("SELECT unnest(['LR', 'DT', 'XGB']) AS model, 'errors' AS feature")
+def top_features(spark, sf):
+    """The feature of largest weight or importance."""
+    users = _users(spark, sf).withColumn("same", F.lit(1.0))
+    ad = AnomalyDetector(numeric_cols=["same", "errors"])
+    ad.set_data(users, users)
+    ad.train("LR")
+    out = ad.importances(1).select(F.lit("LR").alias("model"), "feature")
+    for name, options in (("DT", {}), ("XGB", {"n_estimators": 3})):
+        ad.train(name, **options)
+        out = out.union(ad.importances(1).select(F.lit(name), "feature"))
+    return out
+
+
+@query(USERS + "SELECT row_id, true AS placed FROM users")
+def plotted_rows(spark, sf):
+    """Rows on their two main components."""
+    users = _users(spark, sf).withColumn("pred_ano", F.col("anomaly").cast("int"))
+    out = NNExplainer(Vectorizer(None, ["n", "errors", "kinds"]).fit(users).transform(users)).plane()
+    return out.select("row_id", (F.col("x").isNotNull() & F.col("y").isNotNull()).alias("placed"))
+
+
 @query("SELECT CAST(NULL AS DOUBLE) AS cosine, CAST(NULL AS DOUBLE) AS jaccard, CAST(NULL AS DOUBLE) AS containment")
 def empty_distances(spark, sf):
     """Logs without a term have no distance."""

@@ -125,6 +125,25 @@ def pliplom_templates(spark, sf):
     return t.parse_pliplom(_lines(spark, sf)).select("row_id", "e_template_pliplom", "e_event_pliplom_id")
 
 
+@query(LINES + " SELECT parser, row_id, true AS covered FROM m, (SELECT unnest(['drain', 'lenma', 'spell', 'tip']) AS parser)")
+def templates_cover(spark, sf):
+    """Whether each line has what its template fixes: word for word at its place (Drain, LenMa), or at all (Spell, Tipping)."""
+    lines = _lines(spark, sf)
+    message, name = F.col("e_message_normalized"), "e_message_normalized"
+    blank = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+
+    def by_place(template, words, wild):
+        same = F.zip_with(template, words, lambda x, y: F.coalesce((x == y) | (x == wild), F.lit(False)))
+        return (F.size(template) == F.size(words)) & F.forall(same, lambda x: x)
+
+    has = lambda template, words, wild: F.forall(template, lambda x: (x == wild) | F.array_contains(words, x))
+    drain = t.parse_drain(lines, templates=True).select(F.lit("drain").alias("parser"), "row_id", by_place(t.bins.blank_split(F.col("e_event_drain_template")), t.online.drain_tokens(name), "<*>").alias("covered"))
+    lenma = t.parse_lenma(lines.withColumn("e_words", text.words(message))).select(F.lit("lenma"), "row_id", by_place(F.split("e_template_lenma", " "), F.col("e_words"), ""))
+    spell = t.parse_spell(lines).select(F.lit("spell"), "row_id", has(F.split("e_template_spell", " "), F.split(F.trim(F.regexp_replace(message, r"\s+", " ")), " "), "*"))
+    tip = t.parse_tip(lines, templates=True).select(F.lit("tip"), "row_id", has(blank(F.filter(F.split("e_event_tip_template", " "), lambda x: x != "")), t.bins.blank_split(message), "<*>"))
+    return drain.union(lenma).union(spell).union(tip)
+
+
 @query()
 def drain_templates(spark, sf):
     return t.parse_drain(_lines(spark, sf), templates=True)

@@ -42,6 +42,7 @@ class HDFSLoader(BaseLoader):
 class BGLLoader(BaseLoader):
     """Supercomputer log; a label that starts with - is normal."""
 
+    # The layout's fields, in order.
     names = ["label", "timestamp", "date", "node", "time", "noderepeat", "type", "component", "level", MESSAGE]
 
     def load(self):
@@ -129,6 +130,7 @@ class ADFALoader(BaseLoader):
     """System call ids in text files, an event per id; attack files lie in a folder named after the attack."""
 
     mandatory = (MESSAGE,)
+    # The folder of attacks, and a file that has no calls.
     attacks, skipped = "Attack_Data_Master", "ADFA-LD+Syscall+List.txt"
 
     def load(self):
@@ -321,7 +323,7 @@ class NezhaLoader(BaseLoader):
 
     def preprocess(self):
         raw = "Log" if "Log" in self.df.columns else "raw_m_message"
-        leak = "Inject cpu successfully"
+        leak = "Inject cpu successfully"  # fixed value: what fault injection left in the logs
         df = self.df.withColumn("raw_m_message", first_only(first_only(F.col(raw), leak), leak))
         if self.system == "WebShop":
             inner = F.from_json(F.from_json("raw_m_message", T.StructType().add("log", "string"))["log"], T.StructType().add("message", "string").add("severity", "string"))
