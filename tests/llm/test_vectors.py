@@ -76,8 +76,10 @@ def test_every_link_of_a_hot_group(spark, dims):
         assert [got[k] for k in range(len(x))] == want.tolist()
 
 
-def test_probes_are_those_within_the_margin():
+@pytest.mark.parametrize("few", [1, 4096])
+def test_probes_are_those_within_the_margin(few, monkeypatch):
     """Against signed distances to every border, with more lists than k-means has members for."""
+    monkeypatch.setattr(vectors, "FEW", few)
     rng = np.random.default_rng(8)
     sample = rng.normal(size=(600, 12))
     sample /= np.linalg.norm(sample, axis=1)[:, None]

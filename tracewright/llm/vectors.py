@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..scratch import save
 from .shared import components, received, ship
 
-COSINE, SAMPLE, VALUES, MEMBERS, BLOCK, PARTS, CODES = 0.95, 32_768, 1 << 24, 16, 8192, 8, 256
+COSINE, SAMPLE, VALUES, MEMBERS, FEW, BLOCK, PARTS, CODES = 0.95, 32_768, 1 << 24, 16, 2048, 8192, 8, 256
 R = math.sqrt(2 - 2 * COSINE)
 MARGIN = R / 2
 
@@ -77,10 +77,11 @@ class Index:
     """Coarse centres, their groups and the codebooks of the residuals' parts."""
 
     def __init__(self, sample: np.ndarray, lists: int, groups: int = 1):
-        self.centres = k_means(sample, lists, 8 if len(sample) >= MEMBERS * lists else 0)
+        self.centres = k_means(sample[: 4 * MEMBERS * lists], lists, 8 if len(sample) >= MEMBERS * lists else 0)
         home = _nearest(sample, self.centres)
         self.group = grouped(self.centres, np.bincount(home, minlength=len(self.centres)), groups)
-        residual = sample - self.centres[home]
+        self.between: np.ndarray | None = None
+        residual = (sample - self.centres[home])[: 32 * CODES]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [k_means(residual[:, p], CODES) for p in self.parts]
 
@@ -90,24 +91,35 @@ class Index:
         left = np.sqrt(sum(((residual[:, p] - book[codes[:, k]]) ** 2).sum(1) for k, (p, book) in enumerate(zip(self.parts, self.books, strict=True))))
         return codes.astype(np.uint8), left
 
+    def _gaps(self) -> np.ndarray:
+        """The distances between all centres, worked out once; for FEW centres at most."""
+        if self.between is None:
+            size = (self.centres**2).sum(1)
+            self.between = np.sqrt(np.maximum(size[:, None] + size - 2 * (self.centres @ self.centres.T), 0))
+        return self.between
+
     def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The home list of each row, and (row, list) of those that are home or whose border is within margin.
 
-        A border is at least half as far away as the other centre is farther than home, so
-        distances between centres are worked out for few pairs only.
+        Of FEW centres at most all distances are kept. Of more, they are worked out only for
+        the lists whose border can be within margin: a border is at least half as far away
+        as the other centre is farther than home.
         """
         c = self.centres
         size = (c**2).sum(1)
         score = x @ c.T - size / 2
         home = score.argmax(1)
         best, whole = score[np.arange(len(x)), home], (x**2).sum(1)
+        if len(c) <= FEW:
+            rows, lists = np.nonzero(best[:, None] - score <= margin * self._gaps()[home] + 1e-7)  # rounding must lose none
+            return home, rows, lists
         reach = np.sqrt(np.maximum(whole - 2 * best, 0)) + 2 * margin + 1e-6
         rows, lists = np.nonzero(score >= (whole - reach**2)[:, None] / 2 - 1e-7)
         near = np.empty(len(rows), bool)
         for at in range(0, len(rows), 65_536):
             i, j = rows[at : at + 65_536], lists[at : at + 65_536]
             gap = np.sqrt(((c[home[i]] - c[j]) ** 2).sum(1))
-            near[at : at + 65_536] = best[i] - score[i, j] <= margin * gap + 1e-7  # rounding must lose none
+            near[at : at + 65_536] = best[i] - score[i, j] <= margin * gap + 1e-7
         return home, rows[near], lists[near]
 
 
