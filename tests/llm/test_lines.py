@@ -82,3 +82,13 @@ def test_query_is_its_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
     want = sorted(con.execute(f"SELECT doc_id, n_lines, n_removed, text FROM ({lines.OP2_SQL})").fetchall())
     assert sorted(map(tuple, lines.op2_line_dedup(spark, str(tmp_path)).collect())) == want
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    lines_ = [f"line {rng.randrange(150_000)} of {rng.randrange(3)}" for _ in range(150_000)]
+    docs = [(1, "\n".join(lines_)), (2, "\n".join(["new", *lines_[70_000:70_005], "end"])), (3, "one line " * 300_000)]
+    assert len(docs[0][1]) > 2_000_000
+    want = brute(docs)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {k: want[k, t] for k, t in docs} and got[2] == "new\nend"

@@ -148,3 +148,14 @@ def test_clashing_names(spark):
     out = p.remove_repeats(docs)
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.text or "", r["a.b"]) for r in out.collect()) == [(1, long, 2), (2, "", 5), (2, "x\n\ny", 2)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(1 << 40)}" for _ in range(200_000)]
+    passage = " ".join(words[100_000:100_070])
+    docs = [(1, " ".join(words)), (2, "Here " + passage + " there"), (3, "other " * 5), (4, None)]
+    assert len(docs[0][1]) > 2_000_000
+    got = {r.doc_id: (r.spans, r.keepers) for r in p.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1][0] == got[3][0] == got[4][0] == [] and got[2][1] == [1]
+    assert sum(s.end - s.start for s in got[2][0]) > 0.6 * len(passage)
