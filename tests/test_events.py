@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +151,41 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/t").collect()) == ["1 a b", "2"]
     assert spark.read.csv(f"{tmp_path}/c", sep="\t", header=True).columns == ["k", "t_x"]
     assert "t\\_x" in sinks.latex_table(df)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 20])
+def test_fills_and_merges_in_chunks(spark, monkeypatch, chunk):
+    monkeypatch.setattr(windows, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, None, None, float(k)]), f"m{k}") for k in rng.sample(range(400), 200)]
+    df = spark.createDataFrame(rows, "row_id long, file_name string, t double, m_message string").repartition(5)
+    last, after, want = {}, {}, {}
+    for k, f, t, _ in sorted(rows):
+        last[f] = last.get(f) if t is None else t
+        want[k] = [last[f]]
+    for k, f, t, _ in sorted(rows, reverse=True):
+        after[f] = after.get(f) if t is None else t
+        want[k].append(after[f])
+    got = {r.row_id: [r.t] for r in windows.fill_last_seen(df, "t").collect()}
+    for r in windows.fill_next(df, "t").collect():
+        got[r.row_id].append(r.t)
+    assert got == want
+    events, lines = {}, {}
+    for k, f, t, m in sorted(rows):
+        if t is not None or f not in events:
+            events[f] = k
+        lines.setdefault((f, events[f]), []).append(m)
+    merged = windows.merge_lines(df, F.col("t").isNotNull()).collect()
+    assert {(r.file_name, r.row_id): r.m_message.split("\n") for r in merged} == lines
+
+
+def test_first_rows_and_numbers(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["x", "y", None, "z"]), rng.randrange(5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, item string, s int").withColumn("m_timestamp", F.timestamp_seconds("s")).repartition(4)
+    for direction, key in ((1, lambda r: (r[2], r[0])), (-1, lambda r: (-r[2], r[0])), (0, lambda r: r[0])):
+        first = {min((r for r in rows if r[1] == v), key=key)[0] for v in ("x", "y", None, "z")}
+        assert {r.row_id for r in windows.mark_first(df, "item", direction).where("_first").collect()} == first
+    for most in (10, 1000):
+        got = {r.row_id: r.n for r in windows.numbered(df.select((F.col("row_id") * 7).alias("row_id")), "row_id", "n", most).collect()}
+        assert got == {7 * k: k + 1 for k in range(60)}
