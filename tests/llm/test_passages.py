@@ -159,3 +159,23 @@ def test_very_long_texts(spark):
     got = {r.doc_id: (r.spans, r.keepers) for r in p.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[1][0] == got[3][0] == got[4][0] == [] and got[2][1] == [1]
     assert sum(s.end - s.start for s in got[2][0]) > 0.6 * len(passage)
+
+
+@pytest.mark.parametrize("block", [2, 5, 40])
+def test_crowded_keys_lose_no_link(spark, block):
+    """Templates with edits, and a chain of which only neighbours are near each other, in keys of more than block."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(40):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 4)):
+            own[k] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    for k in range(0, 90, 3):
+        texts.append(" ".join([f"y{j}" for j in range(k)] + base[k:]))
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    want = brute(docs)
+    found = p.repeats(spark.createDataFrame(docs, "doc_id long, text string"), block).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found} == {k: want[k, t] for k, t in docs}

@@ -5,8 +5,9 @@ A-Z in lower case. Two paragraphs are near if the Jaccard similarity of their se
 SHINGLE-word shingles is NEAR or more. Paragraphs of equal words are one class. A class
 has BANDS keys of ROWS minima each, so that a pair at NEAR shares none in less than one
 case of a thousand (see bands()). The members of each key are compared by their exact
-sets until it is known which belong together; keys with the same members are done once,
-and those of many members in blocks, two by two. Classes that are near, over any number
+sets until it is known which belong together; keys with the same members are done once.
+Of a key with over BLOCK members, those near its first one belong together by that; only
+the others meet all members, in blocks, two by two. Classes that are near, over any number
 of steps, are a component: its first paragraph (by doc_id, the text's hash and place)
 stays, the others go.
 
@@ -190,9 +191,9 @@ def near(a: frozenset, b: frozenset, least: float = NEAR) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def _join_block(members: list[tuple[int, frozenset]]) -> list[tuple[int, int]]:
-    """A spanning forest of the near pairs of members; pairs already joined aren't compared."""
-    groups: list[list[tuple[int, frozenset]]] = []
+def _join_block(members: list[tuple[int, frozenset]], close: list[tuple[int, frozenset]]) -> list[tuple[int, int]]:
+    """A spanning forest of the near pairs of members; pairs already joined, as those of close are, aren't compared."""
+    groups: list[list[tuple[int, frozenset]]] = [close] if close else []
     out = []
     for pid, own in members:
         mine = [(pid, own)]
@@ -210,16 +211,16 @@ def _join_block(members: list[tuple[int, frozenset]]) -> list[tuple[int, int]]:
 
 def _verify(batches):
     """Rows sorted by key, a, b; each such group is a block."""
-    key, members, edges = None, [], Forest()
+    key, members, joined, edges = None, [], [], Forest()
     for batch in batches:
-        sets = batch.column("shingles").to_pylist()
+        sets, close = batch.column("shingles").to_pylist(), batch.column("close").to_pylist()
         for k, (this, pid) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b")), strict=True), batch.column("pid").to_pylist(), strict=True)):
             if this != key:
-                for e in _join_block(members):
+                for e in _join_block(members, joined):
                     edges.join(*e)
-                key, members = this, []
-            members.append((pid, frozenset(sets[k])))
-    for e in _join_block(members):
+                key, members, joined = this, [], []
+            (joined if close[k] else members).append((pid, frozenset(sets[k])))
+    for e in _join_block(members, joined):
         edges.join(*e)
     found = edges.edges()
     yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], ["u", "v"])
@@ -239,10 +240,24 @@ def paragraph_classes(rows: DataFrame, units: DataFrame, block: int = BLOCK) ->
     where = where.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "ords")
     texts = rows.join(where, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "ords")
     shingles = save(texts.mapInArrow(_shingles, "pid long, shingles array<long>").dropDuplicates(["pid"]), "shingles")
-    cut = members.withColumn("k", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("k")).cast("int"))
-    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other")).select("key", "pid", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
-    blocks = cut.join(shingles, "pid").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "pid")
-    roots = components(blocks.mapInArrow(_verify, "u long, v long")).withColumnRenamed("node", "pid")
+    # a key of many: those near its first member are joined through that one, and meet only the others
+    heads = save(members.where(F.col("n") > block).groupBy("key").agg(F.min("pid").alias("head")), "paragraph-heads")
+    theirs = shingles.select(F.col("pid").alias("head"), F.col("shingles").alias("theirs"))
+    both = F.size(F.array_intersect("shingles", "theirs"))
+    alike = both >= NEAR * (F.size("shingles") + F.size("theirs") - both) - 1e-9
+    stars = save(members.join(heads, "key").join(shingles, "pid").join(theirs, "head").select("key", "pid", "head", alike.alias("close")), "paragraph-stars")
+    size = lambda flag: F.ceil(F.count_if(flag) / F.lit(block)).cast("int")
+    cuts = stars.groupBy("key").agg(size(~F.col("close")).alias("ko"), size(F.col("close")).alias("kc"))
+    one = F.lit(0)
+    few = members.where(F.col("n") <= block).select("key", "pid", F.lit(False).alias("close"), one.alias("a"), one.alias("b"))
+    own = lambda k: F.pmod(F.xxhash64("pid"), F.col(k)).cast("int")
+    many = stars.join(cuts, "key").where("ko > 0").withColumn("chunk", F.when(F.col("close"), F.col("ko") + own("kc")).otherwise(own("ko")))
+    last = F.when(F.col("close"), F.col("ko")).otherwise(F.col("ko") + F.col("kc")) - 1
+    many = many.select("key", "pid", "close", "chunk", F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    many = many.select("key", "pid", "close", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
+    blocks = few.union(many).join(shingles, "pid").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "pid")
+    edges = blocks.mapInArrow(_verify, "u long, v long").union(stars.where("close AND pid <> head").select("pid", "head"))
+    roots = components(edges).withColumnRenamed("node", "pid")
     rooted = save(classes.drop("keys").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "paragraph-roots")
     keep = rooted.groupBy("root").agg(F.min("origin").alias("keep"), F.sum("n").alias("total")).where("total > 1").drop("total")
     return save(rooted.join(keep, "root").select("pid", "keep"), "paragraph-keep")
