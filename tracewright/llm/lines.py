@@ -46,12 +46,13 @@ def selected(text: str | None, run: int = RUN, long: int = LONG) -> list[tuple[i
     lines = [(k, s) for k, x in enumerate(text.split("\n")) if (s := x.strip(_ENDS))]
     hashes = np.array([xxhash.xxh64_intdigest(s.encode(errors="surrogatepass")) for _, s in lines], np.uint64)
     found: dict[int, list[tuple[int, int, int]]] = {}
-    if len(lines) >= run:
-        near = np.lib.stride_tricks.sliding_window_view(hashes, run)
-        chosen = np.arange(len(near)) + run - 1 - near[:, ::-1].argmin(1)
-        keys = np.full(len(near), run, np.uint64)
+    if (n := len(lines) - run + 1) > 0:
+        least, chosen, keys = hashes[:n], np.arange(n), np.full(n, run, np.uint64)
         for k in range(run):
-            keys = mixed(keys + near[:, k]) * _STEP
+            part = hashes[k : k + n]
+            later = part <= least
+            least, chosen = np.where(later, part, least), np.where(later, np.arange(k, k + n), chosen)
+            keys = mixed(keys + part) * _STEP
         for at, (pick, key) in enumerate(zip(chosen.tolist(), keys.tolist(), strict=True)):
             found.setdefault(pick, []).append((key, lines[at][0], lines[at + run - 1][0]))
     for at, (k, s) in enumerate(lines):
