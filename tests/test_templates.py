@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tracewright.operators import templates as t
 from tracewright.operators.events import EventLogEnhancer
-from tracewright.operators.templates.online import Drain, LenMa, Spell
+from tracewright.operators.templates.online import Drain, LenMa, LimitedDrain, Spell
 from tracewright.streaming import drain as stream
 
 
@@ -85,6 +85,22 @@ def test_remembered_lines_change_nothing(spark):
     assert got == want
 
 
+def test_drain_with_limits(spark):
+    d = LimitedDrain(0.5, max_clusters=2)
+    a, b, c = "a x y".split(), "b p q".split(), "c r s".split()
+    assert [d.add(w) for w in (a, b, a, c)] == [0, 1, 0, 2]  # b was used longest ago and is forgotten
+    assert [d.add(w) for w in (a, b)] == [0, 3]
+    d = LimitedDrain(0.5, max_children=3)
+    assert [d.add(w.split()) for w in ("a 1", "b 2", "c 3", "d 3", "a 1")] == [0, 1, 2, 2, 0]
+    assert set(d.branches[2]) == {"a", "b", "<*>"} and d.template(2) == "<*> 3"
+    d = LimitedDrain()
+    assert [d.add(w.split()) for w in ("7z same tail", "new same tail", "new other words", "new same tail", "", "", "one", "two")] == [0, 0, 1, 2, 3, 3, 4, 5]
+    rows = [(k, text) for k, text in lines(7)]
+    got = {r.row_id: r.e_event_drain_id for r in t.parse_drain(spark.createDataFrame(rows, "row_id long, e_message_normalized string").repartition(5), limits=(5, 3)).collect()}
+    one = LimitedDrain(0.4, 5, 3)
+    assert got == {k: f"e{one.add(text.split()) + 1}" for k, text in rows}
+
+
 def test_drain_numbers_and_templates(spark):
     df = spark.createDataFrame([(5, "get x now"), (1, "get y now"), (3, "put"), (7, "get z now")], "row_id long, e_message_normalized string")
     rows = {r.row_id: (r.e_event_drain_id, r.e_event_drain_template) for r in t.parse_drain(df, templates=True).collect()}

@@ -7,7 +7,7 @@ a task holds the clusters of one key at a time, never its lines.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,61 @@ class Drain:
         return " ".join(self.found[k])
 
 
+class LimitedDrain(Drain):
+    """Drain over all lines, with limits on live clusters and on the first tokens of a length.
+
+    A first token that has no branch of its own looks in the branch of parameters. It gets
+    one if no cluster there is like it and the length has room; the last place is kept for
+    parameters. When there are too many clusters, the one that was used longest ago is
+    forgotten.
+    """
+
+    def __init__(self, sim_th: float = 0.4, max_clusters: int = 1024, max_children: int = 100):
+        super().__init__(sim_th)
+        self.max_clusters, self.max_children = max_clusters, max_children
+        self.live: OrderedDict[int, None] = OrderedDict()  # in the order of their last use
+        self.branches: dict[int, dict[str, list[int]]] = {}  # token count -> first token -> clusters
+
+    def _branch(self, children: dict[str, list[int]], tokens: list[str]) -> str | None:
+        """The branch in which a line is looked for."""
+        if len(tokens) < 2:
+            return "" if "" in children else None
+        return tokens[0] if tokens[0] in children else WILD if WILD in children else None
+
+    def _place(self, children: dict[str, list[int]], tokens: list[str]) -> str:
+        """The branch to which a line's new cluster goes."""
+        first = "" if len(tokens) < 2 else tokens[0]
+        if first in children or not first:
+            return first
+        room = self.max_children - len(children) - (WILD not in children)
+        return WILD if room <= 0 or any(c.isdigit() for c in first) else first
+
+    def add(self, tokens: list[str]) -> int:
+        self.changes += 1  # even a use changes what is forgotten next
+        children = self.branches.setdefault(len(tokens), {})
+        branch = self._branch(children, tokens)
+        best, rank = -1, (-1.0, -1)
+        for k in children.get(branch, ()):
+            if k in self.live:
+                template = self.found[k]
+                same = sum(a == b and a != WILD for a, b in zip(template, tokens, strict=True))
+                this = (same / len(tokens) if tokens else 1.0, template.count(WILD))
+                if this > rank:
+                    best, rank = k, this
+        if best >= 0 and rank[0] >= self.sim_th:
+            self.found[best] = [a if a == b else WILD for a, b in zip(self.found[best], tokens, strict=True)]
+            self.live.move_to_end(best)
+            return best
+        self.found.append(list(tokens))
+        k = len(self.found) - 1
+        self.live[k] = None
+        if len(self.live) > self.max_clusters:
+            self.live.popitem(last=False)
+        own = children.setdefault(self._place(children, tokens), [])
+        own[:] = [c for c in own if c in self.live] + [k]
+        return k
+
+
 class LenMa:
     """Clusters of equal word count and first word, joined by exact match or by similar word lengths."""
 
@@ -229,19 +284,22 @@ def drain_key(tokens: Column) -> Column:
     return F.concat_ws(" ", F.size(tokens).cast("string"), F.when(F.size(tokens) > 1, first))
 
 
-def parse_drain(df: DataFrame, column: str = "e_message_normalized", templates: bool = False, sim_th: float = 0.4, drain_masking: bool = False) -> DataFrame:
+def parse_drain(df: DataFrame, column: str = "e_message_normalized", templates: bool = False, sim_th: float = 0.4, drain_masking: bool = False, limits: tuple[int, int] | None = None) -> DataFrame:
     """df with e_event_drain_id, numbered by first row, and with templates also each line's template then.
 
     drain_masking takes the first line of m_message, with masks of the parser's own form
-    <:NUM:>, in place of column. There is no limit on clusters or on a node's children.
+    <:NUM:>, in place of column. Without limits lines are dealt by token count and first
+    token. limits (live clusters, first tokens of a length, 1024 and 100 as a rule) make
+    any two lines matter to each other, so all go through one task, see LimitedDrain.
     """
     if drain_masking:
         require(df, MESSAGE)
         masked = [(to.replace("<", "<:").replace(">", ":>"), pattern) for to, pattern in MASKS]
-        made = parse_drain(df.withColumn("_masked", mask(F.col(MESSAGE), masked)), "_masked", templates, sim_th)
+        made = parse_drain(df.withColumn("_masked", mask(F.col(MESSAGE), masked)), "_masked", templates, sim_th, limits=limits)
         return made.drop("_masked")
     tokens = drain_tokens(column)
-    lines, clusters = _parse(df, tokens, drain_key(tokens), lambda: Drain(sim_th))
+    make = (lambda: LimitedDrain(sim_th, *limits)) if limits else (lambda: Drain(sim_th))
+    lines, clusters = _parse(df, tokens, F.lit("all") if limits else drain_key(tokens), make)
     ids = numbered(clusters, "_first", "_k").select("_key", "_cluster", F.concat(F.lit("e"), F.col("_k")).alias("e_event_drain_id"))
     out = lines.join(ids, ["_key", "_cluster"]).withColumnRenamed("_line", "e_event_drain_template").drop("_key", "_cluster")
     return _with_nulls(df, out if templates else out.drop("e_event_drain_template"), column)
