@@ -294,8 +294,8 @@ def _pass(shared, n_before: int):
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs as columns _0, _1, ... in their order, and _text, _n words, _spans of hits, _items."""
-    kept = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)]
+    """docs as columns _0, _1, ... in their order, but the text as _text, and _n words, _spans of hits, _items."""
+    kept = [F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns) if c != "text"]
     now = docs.select(*kept, F.col("text").alias("_text"))
     base = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema)
     schema = base + ", _n long, _spans array<struct<first: long, last: long, start: long, end: long>>, _items array<string>"

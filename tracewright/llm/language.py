@@ -154,8 +154,8 @@ def _predict(shared, names):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs as columns _0, _1, ... in their order, and _text, _lang and _score."""
-    kept = docs.select(*(F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(docs.columns)), F.col("text").alias("_text"))
+    """docs as columns _0, _1, ... in their order, but the text as _text, and _lang and _score."""
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"_{k}" if c != "text" else "_text") for k, c in enumerate(docs.columns)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", _lang string, _score double"
     # as large as languages x BUCKETS numbers, whatever the input
     return kept.mapInArrow(_predict(ship(docs.sparkSession, model), kept.columns), schema)
