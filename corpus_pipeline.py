@@ -26,7 +26,7 @@ def identify_language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with a language of LEAST_SCORE or more, by a model of those with a known one."""
     found = language.predict(docs, language.train(docs))
     kept = found.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE))
-    return kept.select(*(F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
+    return kept.select(*(F.col("_text" if c == "text" else f"_{k}").alias(c) for k, c in enumerate(docs.columns)))
 
 
 def dedup_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
