@@ -36,7 +36,7 @@ from ..scratch import save
 from .decontaminate import word_hashes
 from .shared import Forest, components, doc_key, mixed, take_batches
 
-MIN_WORDS, SHINGLE, NEAR, ROWS, MISS, LEAST_PIECE, BLOCK = 20, 5, 0.8, 3, 0.001, 5, 256
+MIN_WORDS, SHINGLE, NEAR, ROWS, MISS, LEAST_PIECE, BLOCK, SLICE = 20, 5, 0.8, 3, 0.001, 5, 256, 1 << 20
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -149,7 +149,7 @@ _UNITS = "doc_id long, th long, kind int, ord int, words int, start int, end int
 
 def _units(batches):
     """A row for each paragraph (kind 0) and piece (kind 1)."""
-    for batch in take_batches(batches):
+    for batch in take_batches(batches, SLICE):  # the arrays of a slice are about sixty times as large
         p = Parsed(batch.column("text"))
         out = []
         for kind, spans, least in ((0, p.lines, MIN_WORDS), (1, p.pieces, LEAST_PIECE)):
@@ -172,7 +172,7 @@ def _units(batches):
 
 def _shingles(batches):
     """(pid, shingles) of the paragraphs whose places are in ords."""
-    for batch in take_batches(batches):
+    for batch in take_batches(batches, SLICE):  # the arrays of a slice are about sixty times as large
         p = Parsed(batch.column("text"))
         place, doc, pids, sets = p.order(p.lines), p.doc[p.lines[0]], [], []
         wanted = [set(x) for x in batch.column("ords").to_pylist()]
