@@ -82,10 +82,15 @@ def alphanumerics(spark, sf):
 
 
 @query(r"""WITH t AS (SELECT doc_id AS row_id, list_concat(list_concat(regexp_extract_all(text, '[^\n]{3}'), regexp_extract_all(text[2:], '[^\n]{3}')), regexp_extract_all(text[3:], '[^\n]{3}')) AS g FROM documents)
-SELECT row_id, CAST(len(g) AS INTEGER) AS e_trigrams_len, md5(array_to_string(list_sort(g), '|')) AS bag FROM t""")
-def trigram_bag(spark, sf):
+SELECT row_id, md5(array_to_string(list_sort(g), '|')) AS bag FROM t""")
+def trigram_contents(spark, sf):
     bags = EventLogEnhancer(log_documents(spark, sf)).trigrams()
-    return bags.select("row_id", "e_trigrams_len", F.md5(F.array_join(F.array_sort("e_trigrams"), "|")).alias("bag"))
+    return bags.select("row_id", F.md5(F.array_join(F.array_sort("e_trigrams"), "|")).alias("bag"))
+
+
+@query(r"SELECT doc_id AS row_id, CAST(len(regexp_extract_all(text, '[^\n]{3}')) + len(regexp_extract_all(text[2:], '[^\n]{3}')) + len(regexp_extract_all(text[3:], '[^\n]{3}')) AS INTEGER) AS e_trigrams_len FROM documents")
+def trigram_bag(spark, sf):
+    return EventLogEnhancer(log_documents(spark, sf)).trigrams().select("row_id", "e_trigrams_len")
 
 
 @query(f"""WITH {EVENTS}, g AS (SELECT substr(m_message, CAST(i AS BIGINT), 3) AS gram FROM events_log, unnest(range(1, greatest(length(m_message) - 1, 1))) AS r(i))
