@@ -247,7 +247,7 @@ def paragraph_classes(rows: DataFrame, units: DataFrame, block: int = BLOCK) ->
     alike = both >= NEAR * (F.size("shingles") + F.size("theirs") - both) - 1e-9
     stars = save(members.join(heads, "key").join(shingles, "pid").join(theirs, "head").select("key", "pid", "head", alike.alias("close")), "paragraph-stars")
     size = lambda flag: F.ceil(F.count_if(flag) / F.lit(block)).cast("int")
-    cuts = stars.groupBy("key").agg(size(~F.col("close")).alias("ko"), size(F.col("close")).alias("kc"))
+    cuts = save(stars.groupBy("key").agg(size(~F.col("close")).alias("ko"), size(F.col("close")).alias("kc")), "paragraph-cuts")
     one = F.lit(0)
     few = members.where(F.col("n") <= block).select("key", "pid", F.lit(False).alias("close"), one.alias("a"), one.alias("b"))
     own = lambda k: F.pmod(F.xxhash64("pid"), F.col(k)).cast("int")
