@@ -179,6 +179,14 @@ def test_fills_and_merges_in_chunks(spark, monkeypatch, chunk):
     assert {(r.file_name, r.row_id): r.m_message.split("\n") for r in merged} == lines
 
 
+def test_fill_next_goes_once_through_its_rows(spark):
+    """A frame that ends with the partition is evaluated anew for each row."""
+    df = spark.range(50_000).select(F.col("id").alias("row_id"), F.lit("a").alias("file_name"), F.when(F.col("id") % 5000 == 4999, F.col("id")).alias("t"))
+    filled = windows.fill_next(df, "t")
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().toString().lower()
+    assert filled.where("t = 5000 * floor(row_id / 5000) + 4999").count() == 50_000
+
+
 def test_first_rows_and_numbers(spark):
     rng = random.Random(2)
     rows = [(k, rng.choice(["x", "y", None, "z"]), rng.randrange(5)) for k in range(60)]
