@@ -94,6 +94,17 @@ def test_sequences(spark):
     assert SequenceEnhancer(vectors).embeddings().df_seq.first().e_bert_emb == [2.0, 4.0]
 
 
+def test_tokens_joined_as_the_list_would_be(spark):
+    rows = [("s", 3, ["c", None, "d"]), ("s", 1, ["a"]), ("s", 2, []), ("s", 4, None), ("s", 5, [""]), ("s", 6, [None]), ("t", 7, None), ("u", 8, ["", ""])]
+    df = spark.createDataFrame(rows, "seq_id string, row_id long, e_words array<string>").repartition(3)
+    want = {r.seq_id: r.w for r in SequenceEnhancer(df).tokens().df_seq.select("seq_id", F.array_join("e_words", " ").alias("w")).collect()}
+    assert {r.seq_id: r.e_words for r in SequenceEnhancer(df).tokens(separator=" ").df_seq.collect()} == want
+    assert want == {"s": "a c d ", "t": "", "u": " "}
+    sized = SequenceEnhancer(df.withColumn("e_words_len", F.when(F.col("row_id") < 7, 2))).tokens(separator=" ").df_seq
+    assert {r.seq_id: (r.e_words, r.e_words_len) for r in sized.collect()} == {"s": ("a c d ", 12), "t": ("", None), "u": (" ", None)}
+    assert "collect_list" not in sized._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("ranges", [1, 3, 64])
 def test_running_sum_in_ranges(spark, ranges):
     df = spark.range(500).select(F.col("id").alias("row_id"), F.when(F.col("id") % 9 != 0, (F.col("id") * 7 % 50)).cast("double").alias("o"), (F.col("id") % 4).alias("v")).repartition(5)

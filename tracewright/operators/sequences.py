@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,37 @@ def median_time(column: str) -> Column:
     return F.timestamp_micros(F.median(micros(column)).cast("long"))
 
 
+def _strings(separator: str, token: str):
+    """(sequence, its lines joined, the sum of their sizes) of rows sorted by sequence and order; nulls add nothing."""
+
+    def run(batches):
+        def row():
+            text = pa.py_buffer(held.getvalue())
+            ends = pa.array([0, text.size], pa.int32()).buffers()[1]
+            return pa.RecordBatch.from_arrays([key, pa.Array.from_buffers(pa.string(), 1, [None, ends, text]), pa.array([size], pa.int64())], [SEQUENCE, token, f"{token}_len"])
+
+        key, held, any_, size = None, None, False, None
+        for batch in batches:
+            lines, sizes = batch.column(2), batch.column(3).to_pylist()
+            for k in range(batch.num_rows):
+                if key is None or batch.column(0)[k] != key[0]:
+                    if key is not None:
+                        done, held = row(), None  # not a second string at once
+                        yield done
+                        del done
+                    key, held, any_, size = batch.column(0).slice(k, 1), io.BytesIO(), False, None
+                if sizes[k] is not None:
+                    size = (size or 0) + sizes[k]
+                if lines[k].is_valid:
+                    held.write(separator.encode() * any_)
+                    held.write(lines[k].as_buffer())
+                    any_ = True
+        if key is not None:
+            yield row()
+
+    return run
+
+
 class SequenceEnhancer:
     """Adds aggregates of events to a sequence table.
 
@@ -26,6 +60,7 @@ class SequenceEnhancer:
 
     def __init__(self, df: DataFrame, df_seq: DataFrame | None = None):
         self.df = df
+        self._own = df_seq is None
         self._base = df_seq if df_seq is not None else df.select(SEQUENCE).distinct()
         self._wanted: dict[str, Column] = {}
         self._after: dict[str, Column] = {}
@@ -52,8 +87,22 @@ class SequenceEnhancer:
     def events(self, event_col: str = "e_event_drain_id"):
         return self._want((event_col, ROW), {event_col: in_row_order(F.col(event_col))})
 
-    def tokens(self, token: str = "e_words"):
+    def tokens(self, token: str = "e_words", separator: str | None = None):
+        """The tokens of all events as a list; with separator, joined to one string.
+
+        The string is put together row by row outside the JVM, one sequence at a time: a task
+        holds the longest string a few times, and never its tokens.
+        """
         columns = {token: F.flatten(F.filter(in_row_order(F.col(token)), lambda x: x.isNotNull()))}
+        if separator is not None:
+            require(self.df, SEQUENCE, token, ROW)
+            line = F.when(F.exists(token, lambda x: x.isNotNull()), F.array_join(token, separator))  # a row without tokens adds no separator
+            size = F.col(f"{token}_len") if f"{token}_len" in self.df.columns else F.lit(None)
+            dealt = self.df.select(SEQUENCE, ROW, line.alias("_line"), size.cast("long").alias("_size")).repartitionByRange(SEQUENCE).sortWithinPartitions(SEQUENCE, ROW, "_line")
+            kind = self.df.schema[SEQUENCE].dataType.simpleString()
+            made = dealt.mapInArrow(_strings(separator, token), f"`{SEQUENCE}` {kind}, `{token}` string, `{token}_len` long")
+            self._joined.append(made if f"{token}_len" in self.df.columns else made.drop(f"{token}_len"))
+            return self
         if f"{token}_len" in self.df.columns:
             columns[f"{token}_len"] = F.sum(f"{token}_len").cast("long")
         return self._want((token, ROW), columns)
@@ -95,6 +144,9 @@ class SequenceEnhancer:
         if self._wanted:
             made = self.df.groupBy(SEQUENCE).agg(*(c.alias(k) for k, c in self._wanted.items())).withColumns(self._after)
             out = out.drop(*(c for c in made.columns if c != SEQUENCE)).join(made, SEQUENCE)
-        for made in self._joined:
+        joined = self._joined
+        if self._own and not self._wanted and joined:  # it has the same sequences, and its long values need no shuffle
+            out, joined = joined[0].select(SEQUENCE, *(c for c in joined[0].columns if c != SEQUENCE)).where(F.col(SEQUENCE).isNotNull()), joined[1:]
+        for made in joined:
             out = out.drop(*(c for c in made.columns if c != SEQUENCE)).join(made, SEQUENCE)
         return out

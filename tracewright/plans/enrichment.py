@@ -166,7 +166,7 @@ def seq_event_list(spark, sf):
 def seq_tokens(spark, sf):
     e = EventLogEnhancer(log_documents(spark, sf))
     e.words()
-    return SequenceEnhancer(e.df).tokens().df_seq.select("seq_id", F.array_join("e_words", " ").alias("words"), "e_words_len")
+    return SequenceEnhancer(e.df).tokens(separator=" ").df_seq.select("seq_id", F.col("e_words").alias("words"), "e_words_len")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS seq_id, string_agg(text, chr(10) ORDER BY turn) AS m_message FROM conversations GROUP BY conv_id")
