@@ -1,3 +1,4 @@
+import bz2
 import math
 import random
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tracewright import model
 from tracewright.functions import text
-from tracewright.operators import joins, windows
+from tracewright.operators import distance, joins, windows
 from tracewright.operators.distance import LogDistance
 from tracewright.operators.embedding import hashing_encoder, with_encoder
 from tracewright.operators.events import EventLogEnhancer
@@ -143,6 +144,20 @@ def test_distances(spark):
     assert LogDistance(lists, lists, "w").cosine().count() == 1
 
 
+def test_compression_by_pieces(spark, monkeypatch):
+    """Against bz2 over the same pieces of the whole texts; no row holds a whole log."""
+    monkeypatch.setattr(distance, "PIECE", 100)
+    rng = random.Random(3)
+    a, b = ([(k, rng.choice([None, "", "é", "x" * 250, "get file 17 of user"])) for k in range(n)] for n in (40, 23))
+    size = lambda t: sum(len(bz2.compress(t[k : k + 100])) for k in range(0, len(t), 100)) or 14
+    for one, other in ((a, b), (b, a), (a, []), ([(1, "")], b)):
+        x, y = (" ".join(m for _, m in r if m is not None).encode() for r in (one, other))
+        frames = [spark.createDataFrame(r, "row_id long, m_message string").repartition(3) for r in (one, other)]
+        made = LogDistance(*frames).compression()
+        assert "collect_list" not in made._jdf.queryExecution().toString()
+        assert math.isclose(made.first().compression, (size(x + y) - min(size(x), size(y))) / max(size(x), size(y)))
+
+
 def test_nearest_and_embedding(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 2.0]), (4, [0.0, 0.0]), (5, None)], "k long, v array<double>")
     got = {r.k: r.nearest for r in joins.nearest(df, df.where("k in (2, 3)"), "k", "v", 3).collect()}
