@@ -158,6 +158,21 @@ def test_compression_by_pieces(spark, monkeypatch):
         assert math.isclose(made.first().compression, (size(x + y) - min(size(x), size(y))) / max(size(x), size(y)))
 
 
+def test_line_diff_by_parts(spark, monkeypatch):
+    """Every log comes back from its difference, and what is alike is found in logs too large for one ndiff."""
+    monkeypatch.setattr(distance, "MOST_DIFFED", 200)
+    rng = random.Random(6)
+    a = [(k, rng.choice([f"line {k}", "often", "", f"first {k}\nsecond", None])) for k in range(300)]
+    changed = [(k, m if rng.random() < 0.9 else f"new {k}") for k, m in a if rng.random() < 0.95]
+    frame = lambda rows: spark.createDataFrame(rows, "row_id long, m_message string").repartition(3)
+    for other, least in ((a, 1.0), (changed, 0.7), ([], 0.0), ([(k, f"x{k}") for k in range(90)], 0.0)):
+        rows = LogDistance(frame(a), frame(other)).diff_lines().orderBy("pos").collect()
+        assert [r.pos for r in rows] == list(range(len(rows)))
+        one, two = ("\n".join(m for _, m in r if m is not None).split("\n") for r in (a, other))
+        assert [r.line for r in rows if r.op in " -"] == one and [r.line for r in rows if r.op in " +"] == two
+        assert sum(r.op == " " for r in rows) >= least * len(one)
+
+
 def test_nearest_and_embedding(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 2.0]), (4, [0.0, 0.0]), (5, None)], "k long, v array<double>")
     got = {r.k: r.nearest for r in joins.nearest(df, df.where("k in (2, 3)"), "k", "v", 3).collect()}
