@@ -72,6 +72,19 @@ def test_spell_index_loses_no_template(spark):
     assert one.found == other.found
 
 
+def test_spell_does_not_go_through_the_holders_of_common_words():
+    class Watched(dict):
+        def items(self):
+            raise AssertionError("all templates with a common word")
+
+    s = Spell()
+    for k in range(50):
+        s.add(["the", f"a{k}", f"b{k}", f"c{k}"])
+    assert len(s.found) == 50
+    s.holders["the"] = Watched(s.holders["the"])
+    assert s.add(["the", "a7", "x", "c7"]) == 7 and s.found[7] == ["the", "a7", "*", "c7"]
+
+
 def test_remembered_lines_change_nothing(spark):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["<*>", "x", "y", "7", "z"]) for _ in range(3))) for k in range(400)]
