@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -179,3 +180,37 @@ def test_crowded_keys_lose_no_link(spark, block):
     want = brute(docs)
     found = p.repeats(spark.createDataFrame(docs, "doc_id long, text string"), block).collect()
     assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found} == {k: want[k, t] for k, t in docs}
+
+
+def test_verifying_keeps_few_shingles_as_objects():
+    """A batch of 4,000 paragraphs of 100 shingles would be about 17 MB of Python numbers and lists."""
+    sets = [np.random.default_rng(k).integers(-(2**62), 2**62, 100) for k in range(4000)]
+    n = len(sets)
+    same = pa.array(np.arange(n) // 2)  # keys of two paragraphs
+    batch = pa.RecordBatch.from_arrays(
+        [same, pa.array(np.arange(n)), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int64)), pa.array([sets[k - k % 2 * (k % 3 > 0)] for k in range(n)], pa.list_(pa.int64()))],
+        ["key", "pid", "close", "a", "b", "shingles"],
+    )
+    tracemalloc.start()
+    (out,) = p._verify([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(zip(out.column("u").to_pylist(), out.column("v").to_pylist(), strict=True)) == [(k, k - 1) for k in range(1, n, 2) if k % 3]
+    assert peak < 4e6
+
+
+def test_a_task_has_one_python_worker(spark, monkeypatch):
+    """What goes to components, which starts with a Python step, has none in its last stage."""
+    plans = []
+
+    def spied(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    components = p.components
+    monkeypatch.setattr(p, "components", spied)
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(["x" * (k + 1), *words])) for k in range(3)], "doc_id long, text string")
+    assert sorted(len(r.spans) for r in p.repeats(docs).collect()) == [0, 1, 1]
+    (plan,) = plans
+    assert "MapInArrow" not in plan

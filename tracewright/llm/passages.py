@@ -212,7 +212,7 @@ def _join_block(members: list[tuple[int, frozenset]], close: list[tuple[int, fro
 def _verify(batches):
     """Rows sorted by key, a, b; each such group is a block."""
     key, members, joined, edges = None, [], [], Forest()
-    for batch in batches:
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):  # few paragraphs' shingles as objects at once
         sets, close = batch.column("shingles").to_pylist(), batch.column("close").to_pylist()
         for k, (this, pid) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b")), strict=True), batch.column("pid").to_pylist(), strict=True)):
             if this != key:
@@ -256,8 +256,9 @@ def paragraph_classes(rows: DataFrame, units: DataFrame, block: int = BLOCK) ->
     many = many.select("key", "pid", "close", "chunk", F.explode(F.sequence(F.lit(0), last)).alias("other"))
     many = many.select("key", "pid", "close", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     blocks = few.union(many).join(shingles, "pid").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "pid")
-    edges = blocks.mapInArrow(_verify, "u long, v long").union(stars.where("close AND pid <> head").select("pid", "head"))
-    roots = components(edges).withColumnRenamed("node", "pid")
+    # a table of its own: in one stage with the thinning of edges each task would keep two Python workers
+    found = save(blocks.mapInArrow(_verify, "u long, v long"), "paragraph-edges")
+    roots = components(found.union(stars.where("close AND pid <> head").select("pid", "head"))).withColumnRenamed("node", "pid")
     rooted = save(classes.drop("keys").join(roots, "pid", "left").withColumn("root", F.coalesce("root", "pid")), "paragraph-roots")
     keep = rooted.groupBy("root").agg(F.min("origin").alias("keep"), F.sum("n").alias("total")).where("total > 1").drop("total")
     return save(rooted.join(keep, "root").select("pid", "keep"), "paragraph-keep")
