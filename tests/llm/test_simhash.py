@@ -63,3 +63,11 @@ def test_rows_and_edges(spark, tmp_path):
     want = brute_components([(k, brute_print(t)) for k, t, _ in rows])
     assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in out) == sorted((k, f"{brute_print(t):016x}", want[k]) for k, t, _ in rows)
     assert s.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_multiplied_tables_are_not_broadcast(spark, crowd):
+    """Spark takes the keys and balls of a few fingerprints for as small as the fingerprints."""
+    rng = random.Random(6)
+    prints = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(200)], "fp long")
+    assert "Broadcast" not in s.links(prints, crowd)._jdf.queryExecution().executedPlan().toString()

@@ -118,6 +118,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     theirs = table.select(F.col("fp").alias("other"), "segment", "key", "crowded")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MOST_BITS
     sparse = theirs.where("crowded IS NULL")
+    # Spark's estimates leave out what explode and _balls multiply, so it would broadcast these tables through the driver
+    sparse = sparse.hint("merge")
     same = table.where("crowded IS NULL").select("fp", "segment", "key").join(sparse, ["segment", "key"]).where((F.col("fp") < F.col("other")) & near)
     flip = asks.join(sparse, ["segment", "key"]).where(near)
     pairs = same.select("fp", "other").union(flip.select("fp", "other")).select(F.col("fp").alias("u"), F.col("other").alias("v"))
@@ -126,7 +128,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     members = save(dense.select("fp").union(asks.join(full, ["segment", "key"], "left_semi").select("fp")).distinct(), "simhash-crowded")
     centres = members.repartition("fp").mapInArrow(_balls, "fp long, centre long")
     stars = centres.groupBy("centre").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pairs.union(centres.join(stars, "centre").where("fp != v").select(F.col("fp").alias("u"), "v"))
+    return pairs.union(centres.join(stars.hint("merge"), "centre").where("fp != v").select(F.col("fp").alias("u"), "v"))
 
 
 def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
