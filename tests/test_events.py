@@ -238,3 +238,18 @@ def test_first_rows_and_numbers(spark):
     for most in (10, 1000):
         got = {r.row_id: r.n for r in windows.numbered(df.select((F.col("row_id") * 7).alias("row_id")), "row_id", "n", most).collect()}
         assert got == {7 * k: k + 1 for k in range(60)}
+
+
+def test_masks_only_run_where_they_can_match(spark):
+    """The masks alone and behind what their matches must have give the same; a text without it isn't searched."""
+    rng = random.Random(3)
+    parts = ["12:ab:cd:ef", "aa:bb:cc", "1.2.3.4", "1.2.3", "abcdef abcdef abcdef", "abcdefabcdefabcdef0", "ABCD 0123 4567 89AB", "ABCD0123", "0x1f", "0x", "-7", "+12", "\u0663", "x9", "9x", 'executed cmd "a"', "word", "_", ":"]
+    texts = [rng.choice(["", " ", "=", ","]).join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(400)]
+    df = spark.createDataFrame([(x,) for x in [*texts, None, ""]], "m string")
+    plain = F.col("m")
+    for to, pattern in text.MASKS:
+        for _ in range(2):
+            plain = F.regexp_replace(plain, pattern, to)
+    rows = df.select("m", text.mask(F.col("m")).alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and len({r.want for r in rows}) > 100
+    assert set(text.CORES) == {pattern for _, pattern in text.MASKS[:-1]}

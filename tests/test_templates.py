@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tracewright.operators import templates as t
 from tracewright.operators.events import EventLogEnhancer
-from tracewright.operators.templates.online import Drain, LenMa, LimitedDrain, Spell
+from tracewright.operators.templates.online import Drain, IndexedSpell, LenMa, LimitedDrain, Spell
 from tracewright.streaming import drain as stream
 
 
@@ -85,6 +86,44 @@ def test_spell_does_not_go_through_the_holders_of_common_words():
     assert s.add(["the", "a7", "x", "c7"]) == 7 and s.found[7] == ["the", "a7", "*", "c7"]
 
 
+@pytest.mark.parametrize("near", [0, 3, 64])
+def test_indexed_spell_is_spell(near):
+    """Lines that repeat, near copies, literal stars; known lines are compared with what changed or searched for again."""
+    rng = random.Random(6)
+    words = ["the", "of", "*", "", *(f"w{k}" for k in range(25))]
+    kinds = [[rng.choice(words) for _ in range(rng.randrange(1, 14))] for _ in range(120)]
+    kinds += [[rng.choice(words) if rng.random() < 0.2 else w for w in rng.choice(kinds)] for _ in range(120)]
+    one, other, known = Spell(), IndexedSpell(), {}
+    other.NEAR = near
+    for _ in range(1500):
+        line = rng.choice(kinds)
+        known[tuple(line)] = now = other.again(line, known.get(tuple(line)))
+        assert now[0] == one.add(line)
+    assert one.found == other.found and one.changes == other.changes
+    plain, alone = Spell(), IndexedSpell()
+    assert [plain.add(line) for line in kinds] == [alone.add(line) for line in kinds]
+
+
+def test_spell_by_row_for_repeated_lines(spark):
+    """A text that changes its cluster, rows of one number, rows without one and messages of other spacing."""
+    texts = ["a b c d e f", "a b x y", "a b  x y", "p q a b x y", "b x y", "a b x y", None, " "]
+    rng = random.Random(8)
+    rows = [(k // 2 if k < 40 else k, rng.choice(texts)) for k in range(200)] + [(None, "a b x y")]
+    df = spark.createDataFrame(rows, "row_id long, e_message_normalized string").repartition(5)
+    got = t.parse_spell(df).collect()
+    assert sorted(((r.row_id, r.e_message_normalized) for r in got), key=str) == sorted(rows, key=str)
+    s, clusters = Spell(), {}
+    for k, mark, x in sorted((-1 if k is None else k, mark_of(" ".join(x.split())), x) for k, x in rows if x is not None):
+        clusters[k, mark] = s.add(" ".join(x.split()).split(" "))
+    for r in got:
+        if r.e_message_normalized is not None:
+            assert r.e_template_spell == s.template(clusters[-1 if r.row_id is None else r.row_id, mark_of(" ".join(r.e_message_normalized.split()))])
+
+
+def mark_of(text):
+    return hashlib.md5(text.encode()).digest()
+
+
 def test_remembered_lines_change_nothing(spark):
     rng = random.Random(5)
     rows = [(k, " ".join(rng.choice(["<*>", "x", "y", "7", "z"]) for _ in range(3))) for k in range(400)]
