@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.operators import templates as t
 from tracewright.operators.events import EventLogEnhancer
 from tracewright.operators.templates.online import Drain, IndexedSpell, LenMa, LimitedDrain, Spell
+from tracewright.plans import templates as plans
 from tracewright.streaming import drain as stream
 
 
@@ -227,3 +228,11 @@ def test_streamed_and_kept_state(spark, tmp_path):
     assert len({(r.e_event_drain_id, whole[r.row_id]) for r in seen}) == len(set(whole.values()))
     enriched = stream.enhance_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/0"), "e_message_normalized")
     assert enriched.isStreaming and "e_words" in enriched.columns
+
+
+def test_cover_looks_words_up_in_a_set(spark):
+    rows = [(["a", "*", "b"], ["b", "c", "a"], True), (["a", "a", "z"], ["a", "b"], False), (["*"], ["q"], True), (["*", ""], [""], True), ([], ["a"], True), ([], None, True), (["a"], [], False), (None, ["a"], None), (["a"], None, None)]
+    df = spark.createDataFrame(rows, "t array<string>, w array<string>, want boolean")
+    made = df.select("want", plans._has(F.col("t"), F.col("w"), "*").alias("got"))
+    assert all(r.got == r.want for r in made.collect())
+    assert "forall" not in made._jdf.queryExecution().toString() and "array_contains" not in made._jdf.queryExecution().toString()

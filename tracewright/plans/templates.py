@@ -25,6 +25,12 @@ def _lines(spark, sf):
     return save(events.union(docs).select("row_id", text.mask(F.col("m_message")).alias("e_message_normalized")), "lines")
 
 
+def _has(template, words, wild):
+    """Whether words have all that template fixes; by a set, as a search for each would grow with the square of a line."""
+    missing = F.array_except(template, F.concat(words, F.array(F.lit(wild))))
+    return (F.size(template) == 0) | (F.size(missing) == 0)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -136,11 +142,10 @@ def templates_cover(spark, sf):
         same = F.zip_with(template, words, lambda x, y: F.coalesce((x == y) | (x == wild), F.lit(False)))
         return (F.size(template) == F.size(words)) & F.forall(same, lambda x: x)
 
-    has = lambda template, words, wild: F.forall(template, lambda x: (x == wild) | F.array_contains(words, x))
     drain = t.parse_drain(lines, templates=True).select(F.lit("drain").alias("parser"), "row_id", by_place(t.bins.blank_split(F.col("e_event_drain_template")), t.online.drain_tokens(name), "<*>").alias("covered"))
     lenma = t.parse_lenma(lines.withColumn("e_words", text.words(message))).select(F.lit("lenma"), "row_id", by_place(F.split("e_template_lenma", " "), F.col("e_words"), ""))
-    spell = t.parse_spell(lines).select(F.lit("spell"), "row_id", has(F.split("e_template_spell", " "), F.split(F.trim(F.regexp_replace(message, r"\s+", " ")), " "), "*"))
-    tip = t.parse_tip(lines, templates=True).select(F.lit("tip"), "row_id", has(blank(F.filter(F.split("e_event_tip_template", " "), lambda x: x != "")), t.bins.blank_split(message), "<*>"))
+    spell = t.parse_spell(lines).select(F.lit("spell"), "row_id", _has(F.split("e_template_spell", " "), F.split(F.trim(F.regexp_replace(message, r"\s+", " ")), " "), "*"))
+    tip = t.parse_tip(lines, templates=True).select(F.lit("tip"), "row_id", _has(blank(F.filter(F.split("e_event_tip_template", " "), lambda x: x != "")), t.bins.blank_split(message), "<*>"))
     return drain.union(lenma).union(spell).union(tip)
 
 
